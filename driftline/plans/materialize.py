@@ -1,7 +1,8 @@
-"""Lineage cuts and size-checked broadcasts."""
+"""Reuse of intermediate tables, lineage cuts, and size-checked broadcasts."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +12,20 @@ from driftline.session import ensure_checkpoint_dir
 MAX_BROADCAST_ROWS = 1_000_000
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a table that several passes read (memory, spilling to disk).
+
+    Spark recomputes only lost partitions from the (short) lineage when an
+    executor goes away, so this survives executor loss.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder.
 
-    Cuts the lineage, so a lost executor re-reads the written files instead of
-    recomputing (and reshuffling) everything upstream.
+    Cuts the lineage: partition contents and ids are fixed from here on, and
+    a lost executor re-reads files instead of recomputing upstream.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -33,11 +43,14 @@ def broadcast_bounded(df: DataFrame, bound_rows: int) -> DataFrame:
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Materialize a small derived table, count it, broadcast only if it fits.
+    """Compute a derived table once, count it, and broadcast it only if it fits.
 
-    Beyond ``max_rows`` the table is returned unhinted, so the join falls back
-    to a shuffle (sort-merge) join and AQE handles skewed keys.
+    Beyond ``max_rows`` the table is returned unhinted, so joins with it fall
+    back to shuffle (sort-merge) joins, where AQE splits skewed keys.
     """
-    small = materialize(df)
-    fits = small.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(small) if fits else small), fits
+    small = reuse(df)
+    fits = small.count() <= max_rows
+    if not fits:
+        return small, False
+    # proven small: one partition, so windows and aggregates over it need no exchange
+    return F.broadcast(small.coalesce(1)), True

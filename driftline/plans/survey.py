@@ -5,12 +5,12 @@ zooplankton volume).
 Physical shape (same at any scale):
 
 * the tow table is scanned with only the needed columns; filters reach the scan;
-* the fish variant dedupes samples with one aggregate (the only wide shuffle),
-  then checkpoints the result, since three later passes read it;
+* the fish variant dedupes samples with one aggregate (the only wide shuffle);
+  the prepared tow table is kept (memory and disk) since three passes read it;
 * the per-(region, season) minimum is a partial aggregate into a table of at
   most regions x seasons rows, broadcast back;
 * the annual table (one row per region, season, year) is a partial aggregate,
-  checkpointed and counted before it is broadcast;
+  kept and counted before it is broadcast;
 * running means and SDs are windows and aggregates over the annual table only;
 * tow-level outputs attach the small tables with broadcast hash joins (map-side).
 """
@@ -39,7 +39,7 @@ from driftline.operators.series import (
     weighted_sd,
     year_sd,
 )
-from driftline.plans.materialize import broadcast_bounded, broadcast_checked, materialize
+from driftline.plans.materialize import broadcast_bounded, broadcast_checked, reuse
 
 WEIGHT = "_tows"
 
@@ -219,8 +219,13 @@ def classify(tows: DataFrame, spec: SeriesSpec) -> DataFrame:
     return out.withColumn(n.region, region_name("region", spec.region_map))
 
 
-def prepared(tows: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Projection, sampled filter, dedupe and the trophic value, before the offset."""
+def prepared(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> DataFrame:
+    """Projection, sampled filter, dedupe and the trophic value, before the offset.
+
+    With ``keep`` the result is kept for reuse: the analysis reads it three
+    times (minimum, annual mean, output) and the scan, joins and dedupe
+    shuffle upstream then run once.
+    """
     out = select_positions(tows, spec.positions) if spec.positions else tows
     if spec.sum_mode == "group" and spec.parts:
         # draft: the sum runs over every row of the sample group, repeated on each row
@@ -234,14 +239,13 @@ def prepared(tows: DataFrame, spec: SeriesSpec) -> DataFrame:
     if spec.dedupe_keys:
         out = prefer_then_first(out, spec.dedupe_keys, spec.preferred_col, spec.preferred,
                                 asc_nulls_last(spec.order))
-        out = materialize(out)
     if spec.sum_mode == "row" and spec.parts:
         out = out.withColumn(spec.value, row_sum(spec.parts))
     if spec.drop_missing:
         out = out.dropna(subset=list(spec.drop_missing))
     if spec.zero_policy == "drop":
         out = out.filter(F.col(spec.value) != 0)
-    return out
+    return reuse(out) if keep else out
 
 
 def minimum_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:

@@ -37,11 +37,13 @@ TOW_COLUMNS = (
 def tow_view(spark: SparkSession, root: str) -> DataFrame:
     """Build ``tow``.
 
-    Join order is chosen for scale: the dimension chain customer -> nation and
-    orders -> customer is joined first, so the largest table (lineitem) is
-    shuffled once, on the order key. Spark picks broadcast vs sort-merge per
-    join from size estimates (AQE re-checks at run time, and splits skewed
-    keys of the sort-merge joins).
+    Join order is chosen for scale: orders -> customer -> nation is joined
+    first, so the largest table (lineitem) is shuffled once, on the order key.
+    The two fact-sized joins are sort-merge joins by hint: file-size estimates
+    of compressed parquet can fall under the broadcast threshold and would
+    broadcast a fact table; sort-merge spills instead of failing, and AQE
+    splits skewed keys of it. Only nation (a fixed 25-row dimension) is left
+    to the planner, which broadcasts it.
     """
     li = read_table(spark, root, "lineitem")
     orders = read_table(spark, root, "orders")
@@ -50,12 +52,12 @@ def tow_view(spark: SparkSession, root: str) -> DataFrame:
 
     cust = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
                     .select("c_custkey", "c_mktsegment", "n_regionkey"))
-    ords = (orders.join(cust, orders.o_custkey == cust.c_custkey)
+    ords = (orders.hint("merge").join(cust, orders.o_custkey == cust.c_custkey)
                   .select("o_orderkey", "c_mktsegment", "c_custkey", "o_orderpriority",
                           "o_orderstatus", "n_regionkey", "o_orderdate"))
     rf, ls, disc, tax = (F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_discount"),
                          F.col("l_tax"))
-    tow = li.join(ords, li.l_orderkey == ords.o_orderkey).select(
+    tow = li.hint("merge").join(ords, li.l_orderkey == ords.o_orderkey).select(
         F.col("c_mktsegment").alias("cruise_name"),
         F.col("c_custkey").cast("bigint").alias("station"),
         F.when(F.col("o_orderpriority") == BLANK_ZOO_GEAR, F.lit(""))
