@@ -18,6 +18,15 @@ def reuse(df: DataFrame) -> DataFrame:
     Spark recomputes only lost partitions from the (short) lineage when an
     executor goes away, so this survives executor loss.
     """
+    import os
+    mode = os.environ.get("DRIFTLINE_REUSE", "persist")
+    if mode == "checkpoint":
+        return materialize(df)
+    if mode == "parquet":
+        from driftline.session import scratch_path
+        path = scratch_path(df.sparkSession, "table")
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
