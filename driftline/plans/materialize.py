@@ -6,28 +6,29 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import ensure_checkpoint_dir
+from driftline.session import ensure_checkpoint_dir, scratch_path
 
 # A broadcast side must stay well inside executor memory on any cluster.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a table that several passes read (memory, spilling to disk).
+def reuse(df: DataFrame, how: str = "table") -> DataFrame:
+    """Keep a table that several passes read.
 
-    Spark recomputes only lost partitions from the (short) lineage when an
-    executor goes away, so this survives executor loss.
+    ``how='table'`` (default) writes it as parquet under the shared checkpoint
+    folder and reads it back: a lost executor re-reads files, later plans
+    start from a plain scan, and each pass reads only its own columns (with
+    filters pushed into the scan). ``how='persist'`` keeps it in executor
+    memory, spilling to disk; lost partitions are recomputed from lineage.
     """
-    import os
-    mode = os.environ.get("DRIFTLINE_REUSE", "persist")
-    if mode == "checkpoint":
-        return materialize(df)
-    if mode == "parquet":
-        from driftline.session import scratch_path
-        path = scratch_path(df.sparkSession, "table")
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if how == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if how != "table":
+        raise ValueError(f"unknown reuse mode {how!r}")
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -49,17 +50,3 @@ def broadcast_bounded(df: DataFrame, bound_rows: int) -> DataFrame:
     if bound_rows > MAX_BROADCAST_ROWS:
         raise ValueError(f"bound {bound_rows} exceeds the broadcast limit")
     return F.broadcast(df)
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Compute a derived table once, count it, and broadcast it only if it fits.
-
-    Beyond ``max_rows`` the table is returned unhinted, so joins with it fall
-    back to shuffle (sort-merge) joins, where AQE splits skewed keys.
-    """
-    small = reuse(df)
-    fits = small.count() <= max_rows
-    if not fits:
-        return small, False
-    # proven small: one partition, so windows and aggregates over it need no exchange
-    return F.broadcast(small.coalesce(1)), True

@@ -6,11 +6,13 @@ Physical shape (same at any scale):
 
 * the tow table is scanned with only the needed columns; filters reach the scan;
 * the fish variant dedupes samples with one aggregate (the only wide shuffle);
-  the prepared tow table is kept (memory and disk) since three passes read it;
-* the per-(region, season) minimum is a partial aggregate into a table of at
-  most regions x seasons rows, broadcast back;
+  the prepared tow table is written once to the shared checkpoint folder,
+  since several passes read it;
+* the per-(region, season) minimum and year span are one partial aggregate of
+  at most regions x seasons rows; the minimum goes back as a literal lookup
+  expression (no join), the year span bounds the annual table's size;
 * the annual table (one row per region, season, year) is a partial aggregate,
-  kept and counted before it is broadcast;
+  moved to one partition and broadcast when its proven bound is small;
 * running means and SDs are windows and aggregates over the annual table only;
 * tow-level outputs attach the small tables with broadcast hash joins (map-side).
 """
@@ -26,20 +28,19 @@ from pyspark.sql import functions as F
 
 from driftline import constants as C
 from driftline.functions.classify import region_name, region_names, season
-from driftline.functions.numeric import half_min_log, row_sum
+from driftline.functions.numeric import half_min_log, infinity, nan_to_null, row_sum
 from driftline.operators.columns import others_first, relocate, relocate_all, select_positions
 from driftline.operators.dedupe import asc_nulls_last, first_by, prefer_then_first
 from driftline.operators.joins import attach
 from driftline.operators.series import (
     annual_mean,
-    group_min,
     group_row_sum,
-    min_positive,
     running_mean,
     weighted_sd,
     year_sd,
 )
-from driftline.plans.materialize import broadcast_bounded, broadcast_checked, reuse
+from driftline.operators.reshape import layer_table
+from driftline.plans.materialize import MAX_BROADCAST_ROWS, reuse
 
 WEIGHT = "_tows"
 
@@ -105,34 +106,48 @@ class Series:
 
     ``logged`` holds the tow rows with the minimum and the log value; the
     minimum always comes from the whole series, also for a period slice.
+    ``annual_bound`` is a proven upper bound on the rows of the annual table
+    (groups x calendar years spanned, plus a missing-year row per group),
+    known before that table is computed.
     """
 
-    def __init__(self, logged: DataFrame, spec: SeriesSpec):
+    def __init__(self, logged: DataFrame, spec: SeriesSpec, annual_bound: int):
         self.logged = logged
         self.spec = spec
+        self.annual_bound = annual_bound
         n = spec.names
         self.keys = [n.region, "season", "year"]
         self.part = [n.region, "season"]
 
+    @property
+    def small(self) -> bool:
+        """Whether the annual table is proven small enough to broadcast."""
+        return self.annual_bound <= MAX_BROADCAST_ROWS
+
     # -- small tables ------------------------------------------------------
     @functools.cached_property
-    def _annual_checked(self) -> tuple[DataFrame, bool]:
+    def _annual(self) -> DataFrame:
+        """Annual table with the tow count per year (the SD weight).
+
+        A partial aggregate over the tow rows; when proven small it is moved
+        into one partition (at most ``annual_bound`` rows cross the network),
+        so the windows and aggregates over it need no further exchange.
+        """
         n = self.spec.names
         a = annual_mean(self.logged, self.keys, n.log, n.mean, weight=WEIGHT)
-        return broadcast_checked(a)
+        return a.repartition(1) if self.small else a
 
     @property
     def annual(self) -> DataFrame:
         """(region, year, season, mean): one row per group, as ``summarize`` gives."""
         n = self.spec.names
-        return self._annual_checked[0].select(n.region, "year", "season", n.mean)
+        return self._annual.select(n.region, "year", "season", n.mean)
 
     @functools.cached_property
     def series(self) -> DataFrame:
         """Annual table plus partial-window and complete-window running means."""
         s, n = self.spec, self.spec.names
-        a = self._annual_checked[0]
-        a = running_mean(a, self.part, "year", n.mean, n.run, k=s.k)
+        a = running_mean(self._annual, self.part, "year", n.mean, n.run, k=s.k)
         return running_mean(a, self.part, "year", n.mean, n.full, k=s.k, complete=True)
 
     @functools.cached_property
@@ -140,7 +155,7 @@ class Series:
         """(region, season, sd): at most regions x seasons rows."""
         s, n = self.spec, self.spec.names
         source = n.mean if s.sd_source == "annual" else n.run
-        base = self.series if s.sd_source != "annual" else self._annual_checked[0]
+        base = self.series if s.sd_source != "annual" else self._annual
         if s.sd_weight == "tow":
             return weighted_sd(base, self.part, source, WEIGHT, n.sd)
         return year_sd(base, self.part, source, n.sd)
@@ -149,7 +164,7 @@ class Series:
     def summary(self) -> DataFrame:
         """Annual series with both running means and the group SD."""
         n = self.spec.names
-        out = attach(self.series, self.sd, self.part, broadcast=True)
+        out = attach(self.series, self.sd, self.part)
         return out.select(n.region, "season", "year", n.mean, n.run, n.full, n.sd)
 
     def report(self) -> DataFrame:
@@ -157,17 +172,18 @@ class Series:
         n = self.spec.names
         return self.sd.select(n.region, "season", n.sd)
 
+    def _per_year(self) -> DataFrame:
+        """(region, season, year) -> mean and SD, the values written onto tow rows."""
+        n = self.spec.names
+        return attach(self.annual, self.sd, self.part)
+
     def tows(self) -> DataFrame:
         """Every tow with min, log value, its group's annual mean and the SD."""
-        n = self.spec.names
-        fits = self._annual_checked[1]
-        out = attach(self.logged, self.annual, self.keys, broadcast=fits)
-        return attach(out, broadcast_bounded(self.sd, self.spec.group_bound), self.part,
-                      broadcast=True)
+        return attach(self.logged, self._per_year(), self.keys, broadcast=self.small)
 
     def with_annual_mean(self) -> DataFrame:
         """Every tow with its group's annual mean (the grouped ``mutate``)."""
-        return attach(self.logged, self.annual, self.keys, broadcast=self._annual_checked[1])
+        return attach(self.logged, self.annual, self.keys, broadcast=self.small)
 
     def first_rows(self) -> DataFrame:
         """First tow row (in table order) of every (region, season, year), with the SD.
@@ -183,7 +199,7 @@ class Series:
         s, n = self.spec, self.spec.names
         left = self.series.select(n.region, "year", "season", n.mean, n.run)
         right = self.first_rows()
-        out = attach(left, right, [n.region, "season", "year"], broadcast=self._annual_checked[1])
+        out = attach(left, right, [n.region, "season", "year"], broadcast=self.small)
         out = others_first(out, left.columns)
         out = relocate_all(out, s.layout)
         if n.log in out.columns:
@@ -193,7 +209,6 @@ class Series:
     def layers(self) -> DataFrame:
         """Chart data: tow log values, annual means, running means in one long table."""
         n = self.spec.names
-        from driftline.operators.reshape import layer_table
         return layer_table([("tow", self.logged, n.log), ("annual", self.annual, n.mean),
                             ("running_mean", self.series, n.run)],
                            [n.region, "season", "year"])
@@ -205,7 +220,7 @@ class Series:
         is missing; the reference would return no rows at all if one were.
         """
         cond = F.col("year") >= lo if hi is None else F.col("year").between(lo, hi)
-        return Series(self.logged.filter(cond), self.spec)
+        return Series(self.logged.filter(cond), self.spec, self.annual_bound)
 
 
 # -- building the tow-level tables --------------------------------------------
@@ -222,9 +237,10 @@ def classify(tows: DataFrame, spec: SeriesSpec) -> DataFrame:
 def prepared(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> DataFrame:
     """Projection, sampled filter, dedupe and the trophic value, before the offset.
 
-    With ``keep`` the result is kept for reuse: the analysis reads it three
-    times (minimum, annual mean, output) and the scan, joins and dedupe
-    shuffle upstream then run once.
+    With ``keep`` the result is written once as a table in the shared
+    checkpoint folder: the analysis reads it several times (group statistics,
+    annual mean, first rows, output), each pass only the columns it needs, and
+    the scan, joins and dedupe shuffle upstream run once.
     """
     out = select_positions(tows, spec.positions) if spec.positions else tows
     if spec.sum_mode == "group" and spec.parts:
@@ -248,22 +264,60 @@ def prepared(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> DataFrame:
     return reuse(out) if keep else out
 
 
+def _minimum(spec: SeriesSpec):
+    """Aggregate expression of the offset minimum."""
+    if spec.zero_policy == "drop":
+        return F.min(nan_to_null(spec.value))
+    m = F.min(F.when(F.col(spec.value) > 0, nan_to_null(spec.value)))
+    if spec.empty_min == "inf":
+        return F.coalesce(m, infinity())
+    if spec.empty_min != "null":
+        raise ValueError(f"empty_min must be 'inf' or 'null', not {spec.empty_min!r}")
+    return m
+
+
 def minimum_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Per (region, season): the offset minimum (positive values only, or after
+    zeros were dropped)."""
     n = spec.names
-    part = [n.region, "season"]
-    if spec.zero_policy == "drop":
-        return group_min(df, part, spec.value, n.minimum)
-    return min_positive(df, part, spec.value, n.minimum, empty=spec.empty_min)
+    return df.groupBy(n.region, "season").agg(_minimum(spec).alias(n.minimum))
+
+
+def _group_stats(base: DataFrame, spec: SeriesSpec) -> list:
+    """Minimum and calendar-year span of every (region, season) group.
+
+    One partial aggregate; the result has at most ``spec.group_bound`` rows
+    (region names x seasons, a bound by construction), checked here.
+    """
+    n = spec.names
+    stats = base.groupBy(n.region, "season").agg(
+        _minimum(spec).alias(n.minimum), F.min("year").alias("_lo"), F.max("year").alias("_hi"))
+    rows = stats.limit(spec.group_bound + 1).collect()
+    if len(rows) > spec.group_bound:
+        raise AssertionError("more (region, season) groups than the region map allows")
+    return rows
 
 
 def analyse(tows: DataFrame, spec: SeriesSpec) -> Series:
-    """Run the transform step and return the lazily built outputs."""
+    """Run the transform step and return the lazily built outputs.
+
+    Two actions in all: the group statistics here, and whatever output the
+    caller computes; the prepared tow table between them is kept.
+    """
     n = spec.names
     base = prepared(tows, spec)
-    mins = broadcast_bounded(minimum_table(base, spec), spec.group_bound)
-    logged = attach(base, mins, [n.region, "season"], broadcast=True)
+    rows = _group_stats(base, spec)
+    minimum = None
+    for r in rows:
+        hit = F.col(n.region).eqNullSafe(r[n.region]) & F.col("season").eqNullSafe(r["season"])
+        value = F.lit(r[n.minimum]).cast("double")
+        minimum = F.when(hit, value) if minimum is None else minimum.when(hit, value)
+    minimum = F.lit(None).cast("double") if minimum is None else minimum
+    # years spanned per group, plus one row for a missing year
+    bound = sum((r["_hi"] - r["_lo"] + 2) if r["_hi"] is not None else 1 for r in rows)
+    logged = base.withColumn(n.minimum, minimum)
     logged = logged.withColumn(n.log, half_min_log(spec.value, n.minimum, spec.log_base))
-    return Series(logged, spec)
+    return Series(logged, spec, bound)
 
 
 def year_weighted_by_code(series: Series, code: str = "region") -> DataFrame:
@@ -274,7 +328,7 @@ def year_weighted_by_code(series: Series, code: str = "region") -> DataFrame:
     """
     n = series.spec.names
     combos = series.logged.select(code, n.region, "season", "year").distinct()
-    per_code = attach(combos, series.annual, series.keys, broadcast=series._annual_checked[1])
+    per_code = attach(combos, series.annual, series.keys, broadcast=series.small)
     return year_sd(per_code, [code, "season"], n.mean, n.sd)
 
 
