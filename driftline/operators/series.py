@@ -80,26 +80,36 @@ def weighted_sd(annual: DataFrame, part: Sequence[str], value: str, weight: str,
     Equals ``stddev_samp`` over the row-level table that carries the yearly
     value on each row, computed from the small annual table alone (centred
     two-pass form). Years with a missing value drop out; one row gives NULL.
+    One row per group.
     """
+    out = with_weighted_sd(annual, part, value, weight, name)
+    return out.groupBy(*part).agg(F.first(name, ignorenulls=True).alias(name))
+
+
+def with_weighted_sd(annual: DataFrame, part: Sequence[str], value: str, weight: str,
+                     name: str) -> DataFrame:
+    """:func:`weighted_sd` written onto every annual row (windows over ``part``)."""
     x = nan_to_null(value)
     k = F.when(x.isNotNull(), F.col(weight))
     w = Window.partitionBy(*part)
-    centred = (annual
-               .withColumn("_k", k)
-               .withColumn("_x", x)
-               .withColumn("_n", F.sum("_k").over(w))
-               .withColumn("_m", F.try_divide(F.sum(F.col("_k") * F.col("_x")).over(w), F.col("_n"))))
-    ss = F.sum(F.col("_k") * F.pow(F.col("_x") - F.col("_m"), 2))
-    n = F.first("_n", ignorenulls=True)
-    return (centred.groupBy(*part)
-                   .agg(F.when(n > 1, F.sqrt(F.try_divide(ss, n - 1))).alias(name)))
+    n = F.sum(k).over(w)
+    mean = F.try_divide(F.sum(k * x).over(w), n)
+    tmp = annual.withColumn("_n", n).withColumn("_m", mean)
+    ss = F.sum(k * F.pow(x - F.col("_m"), 2)).over(w)
+    sd = F.when(F.col("_n") > 1, F.sqrt(F.try_divide(ss, F.col("_n") - 1)))
+    return tmp.withColumn(name, sd).drop("_n", "_m")
 
 
 def year_sd(annual: DataFrame, part: Sequence[str], value: str, name: str) -> DataFrame:
-    """Sample SD of the per-year values, each year counted once."""
+    """Sample SD of the per-year values, each year counted once. One row per group."""
     return annual.groupBy(*part).agg(F.stddev_samp(nan_to_null(value)).alias(name))
 
 
+def with_year_sd(annual: DataFrame, part: Sequence[str], value: str, name: str) -> DataFrame:
+    """:func:`year_sd` written onto every annual row."""
+    return annual.withColumn(name, F.stddev_samp(nan_to_null(value)).over(Window.partitionBy(*part)))
+
+
 def descending_report(sd: DataFrame, region: str, season: str) -> DataFrame:
     """SD report rows, region names descending, then season (a total order)."""
     return sd.orderBy(F.col(region).desc_nulls_last(), F.col(season).asc_nulls_last())

@@ -36,7 +36,8 @@ from driftline.operators.series import (
     annual_mean,
     group_row_sum,
     running_mean,
-    weighted_sd,
+    with_weighted_sd,
+    with_year_sd,
     year_sd,
 )
 from driftline.operators.reshape import layer_table
@@ -144,63 +145,66 @@ class Series:
         return self._annual.select(n.region, "year", "season", n.mean)
 
     @functools.cached_property
-    def series(self) -> DataFrame:
-        """Annual table plus partial-window and complete-window running means."""
+    def _stats(self) -> DataFrame:
+        """Annual table with both running means and the group SD on every row.
+
+        Windows over the single-partition annual table, so every output of
+        the analysis shares one annual aggregate (and its exchange).
+        """
         s, n = self.spec, self.spec.names
         a = running_mean(self._annual, self.part, "year", n.mean, n.run, k=s.k)
-        return running_mean(a, self.part, "year", n.mean, n.full, k=s.k, complete=True)
+        a = running_mean(a, self.part, "year", n.mean, n.full, k=s.k, complete=True)
+        source = n.mean if s.sd_source == "annual" else n.run
+        if s.sd_weight == "tow":
+            return with_weighted_sd(a, self.part, source, WEIGHT, n.sd)
+        return with_year_sd(a, self.part, source, n.sd)
 
-    @functools.cached_property
+    @property
+    def series(self) -> DataFrame:
+        """Annual table plus partial-window and complete-window running means."""
+        n = self.spec.names
+        return self._stats.select(n.region, "year", "season", n.mean, n.run, n.full)
+
+    @property
     def sd(self) -> DataFrame:
         """(region, season, sd): at most regions x seasons rows."""
-        s, n = self.spec, self.spec.names
-        source = n.mean if s.sd_source == "annual" else n.run
-        base = self.series if s.sd_source != "annual" else self._annual
-        if s.sd_weight == "tow":
-            return weighted_sd(base, self.part, source, WEIGHT, n.sd)
-        return year_sd(base, self.part, source, n.sd)
+        n = self.spec.names
+        return self._stats.select(*self.part, n.sd).dropDuplicates(self.part)
 
     # -- outputs -----------------------------------------------------------
     def summary(self) -> DataFrame:
         """Annual series with both running means and the group SD."""
         n = self.spec.names
-        out = attach(self.series, self.sd, self.part)
-        return out.select(n.region, "season", "year", n.mean, n.run, n.full, n.sd)
+        return self._stats.select(n.region, "season", "year", n.mean, n.run, n.full, n.sd)
 
     def report(self) -> DataFrame:
         """The SD table: region, season, sd (12 rows for three regions)."""
-        n = self.spec.names
-        return self.sd.select(n.region, "season", n.sd)
-
-    def _per_year(self) -> DataFrame:
-        """(region, season, year) -> mean and SD, the values written onto tow rows."""
-        n = self.spec.names
-        return attach(self.annual, self.sd, self.part)
+        return self.sd
 
     def tows(self) -> DataFrame:
         """Every tow with min, log value, its group's annual mean and the SD."""
-        return attach(self.logged, self._per_year(), self.keys, broadcast=self.small)
+        n = self.spec.names
+        per_year = self._stats.select(*self.keys, n.mean, n.sd)
+        return attach(self.logged, per_year, self.keys, broadcast=self.small)
 
     def with_annual_mean(self) -> DataFrame:
         """Every tow with its group's annual mean (the grouped ``mutate``)."""
         return attach(self.logged, self.annual, self.keys, broadcast=self.small)
 
     def first_rows(self) -> DataFrame:
-        """First tow row (in table order) of every (region, season, year), with the SD.
+        """First tow row (in table order) of every (region, season, year).
 
-        The pick is a partial aggregate over the tow rows (at most one row per
-        group leaves each task); the SD is attached to the picked rows only.
+        A partial aggregate over the tow rows: at most one row per group
+        leaves each task, whatever the skew.
         """
-        picked = first_by(self.logged, self.keys, self.spec.row_order)
-        return attach(picked, self.sd, self.part, broadcast=True)
+        return first_by(self.logged, self.keys, self.spec.row_order)
 
     def final(self) -> DataFrame:
         """Running-mean table joined to each year's first tow row, reference layout."""
         s, n = self.spec, self.spec.names
-        left = self.series.select(n.region, "year", "season", n.mean, n.run)
-        right = self.first_rows()
-        out = attach(left, right, [n.region, "season", "year"], broadcast=self.small)
-        out = others_first(out, left.columns)
+        left = self._stats.select(n.region, "year", "season", n.mean, n.run, n.sd)
+        out = attach(left, self.first_rows(), self.keys, broadcast=self.small)
+        out = others_first(out, [n.region, "year", "season", n.mean, n.run])
         out = relocate_all(out, s.layout)
         if n.log in out.columns:
             out = relocate(out, n.mean, n.log)
