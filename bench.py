@@ -38,7 +38,7 @@ def main() -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-ckpt-"))
 
     # warm the JVM (class loading, JIT, codegen caches) on the smallest tables
-    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     if os.path.isdir(warm_dir):
         for name in names:
             QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()

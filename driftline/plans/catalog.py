@@ -20,7 +20,7 @@ from driftline.operators.dedupe import asc_nulls_last, first_by
 from driftline.operators.joins import attach
 from driftline.operators.quality import blank_counts, is_blank, null_profile, repeated_keys
 from driftline.operators.reshape import to_long
-from driftline.operators.series import group_row_sum
+from driftline.operators.series import descending_report, group_row_sum
 from driftline.plans.survey import (
     SeriesSpec,
     analyse,
@@ -114,11 +114,11 @@ def q_zoo_draft(spark, root):
 # -- series operators ---------------------------------------------------------
 
 def q_sd_report(spark, root):
-    return _series(spark, root, ZOO).report()
+    return descending_report(_series(spark, root, ZOO).report(), "region_name", "season")
 
 
 def q_fish_sd_report(spark, root):
-    return _series(spark, root, FISH).report()
+    return descending_report(_series(spark, root, FISH).report(), "region_name", "season")
 
 
 def q_run_mean_final(spark, root):

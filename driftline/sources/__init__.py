@@ -1 +1,2 @@
-"""Table sources and sinks."""
+"""Table sources and sinks: parquet tables, the survey CSV (read and write),
+and the survey-shaped fixture view over the driver's tables."""

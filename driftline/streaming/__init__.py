@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analysed method reads one whole survey table per run and has no stream,
+watermark, late-data or state semantics, so nothing here computes. The batch
+operators are plain DataFrame functions and also accept a streaming
+DataFrame where Spark allows the operation (projections, filters, the
+season and region columns); the multi-pass analyses (group minimum, then
+annual means, then running means) need the whole series and stay batch.
+"""

@@ -44,3 +44,23 @@ def test_report_shape(spark):
         assert [r.region_name for r in rep[::4]] == regions
         assert all({r.season for r in rep if r.region_name == g} == seasons for g in regions)
         assert all(r[col] is not None and r[col] > 0 for r in rep)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="sf0.01 tables not present")
+def test_fixture_check_values(spark):
+    """Values measured on the fixture when it was designed (FIXTURES.md)."""
+    from dataclasses import replace
+
+    from driftline.plans.catalog import FISH, ZOO
+    from driftline.plans.survey import analyse
+    from driftline.sources.fixture import tow_view
+    tow = tow_view(spark, "/root/testdata/sf0.01")
+    cell = "region_name = 'GB' AND season = 'Fall'"
+    fish = analyse(tow, FISH)
+    assert fish.report().filter(cell).first().sd_FF == pytest.approx(0.0216013, abs=5e-8)
+    assert fish.logged.filter(cell).count() == 465
+    by_year = analyse(tow, replace(FISH, sd_weight="year"))
+    assert by_year.report().filter(cell).first().sd_FF == pytest.approx(0.0237, abs=5e-5)
+    zoo = analyse(tow, ZOO)
+    assert zoo.report().filter(cell).first().sd_ZP == pytest.approx(0.0272266, abs=5e-8)
+    assert zoo.logged.filter(cell).count() == 2699
