@@ -52,6 +52,26 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
                  .select(*df.columns)
 
 
+def first_by_leading(df: DataFrame, keys: Sequence[str], lead: str,
+                     order: Sequence[Column]) -> DataFrame:
+    """:func:`first_by` for an order that starts with column ``lead`` ascending,
+    missing last, when the number of key groups is proven small.
+
+    The first row of a group has the group's smallest ``lead``: a hash
+    aggregate of that minimum (no sort), a broadcast semi-join on it, and
+    ``min_by`` over the few remaining candidates give the same row without
+    sorting every row. A group whose ``lead`` is missing throughout keeps all
+    its rows as candidates.
+    """
+    keys = list(keys)
+    tmp = {k: f"__first_key_{i}" for i, k in enumerate(keys)}
+    lowest = df.groupBy(*keys).agg(F.min(lead).alias("_lead"))
+    lowest = F.broadcast(lowest.select(*[F.col(k).alias(tmp[k]) for k in keys], "_lead"))
+    hit = [df[k].eqNullSafe(lowest[tmp[k]]) for k in keys]
+    hit.append(df[lead].eqNullSafe(lowest["_lead"]))
+    return first_by(df.join(lowest, on=hit, how="left_semi"), keys, order)
+
+
 def prefer_then_first(df: DataFrame, keys: Sequence[str], prefer_col: str, preferred,
                       order: Sequence[Column]) -> DataFrame:
     """Keep one row per key: the preferred-gear row if any, else the first by ``order``."""

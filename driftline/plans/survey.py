@@ -25,12 +25,14 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from driftline import constants as C
 from driftline.functions.classify import region_name, region_names, season
 from driftline.functions.numeric import half_min_log, infinity, nan_to_null, row_sum
 from driftline.operators.columns import others_first, relocate, relocate_all, select_positions
-from driftline.operators.dedupe import asc_nulls_last, first_by, prefer_then_first
+from driftline.operators.dedupe import (asc_nulls_last, first_by, first_by_leading,
+                                        prefer_then_first)
 from driftline.operators.joins import attach
 from driftline.operators.series import (
     annual_mean,
@@ -44,6 +46,7 @@ from driftline.operators.reshape import layer_table
 from driftline.plans.materialize import MAX_BROADCAST_ROWS, reuse
 
 WEIGHT = "_tows"
+FIXED_WIDTH = (NumericType, DateType, TimestampType, TimestampNTZType)
 
 
 @dataclass(frozen=True)
@@ -92,14 +95,18 @@ class SeriesSpec:
         return len(region_names(self.region_map)) * (len(C.SEASON_BANDS) + 1)
 
     @property
-    def row_order(self) -> list[Column]:
-        """Order of the tow table when "first row" is picked.
+    def order_names(self) -> list[str]:
+        """Columns ordering the tow table when "first row" is picked.
 
         After a dedupe the rows are sorted by the sample key (unique), file
         order otherwise.
         """
         lead = list(self.dedupe_keys) if self.dedupe_keys else []
-        return asc_nulls_last(lead + [c for c in self.order if c not in lead])
+        return lead + [c for c in self.order if c not in lead]
+
+    @property
+    def row_order(self) -> list[Column]:
+        return asc_nulls_last(self.order_names)
 
 
 class Series:
@@ -195,8 +202,14 @@ class Series:
         """First tow row (in table order) of every (region, season, year).
 
         A partial aggregate over the tow rows: at most one row per group
-        leaves each task, whatever the skew.
+        leaves each task, whatever the skew. When the table order starts with
+        a fixed-width column (a row ordinal, a numeric key) and the groups are
+        proven few, a hash minimum of that column first narrows the rows to
+        the candidates, so no task sorts all its rows.
         """
+        lead = self.spec.order_names[0]
+        if self.small and isinstance(self.logged.schema[lead].dataType, FIXED_WIDTH):
+            return first_by_leading(self.logged, self.keys, lead, self.spec.row_order)
         return first_by(self.logged, self.keys, self.spec.row_order)
 
     def final(self) -> DataFrame:

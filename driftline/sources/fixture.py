@@ -65,7 +65,7 @@ def tow_view(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == BLANK_ICH_GEAR, F.lit(""))
          .otherwise(F.col("o_orderstatus")).alias("ich_gear"),
         F.col("n_regionkey").alias("region"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.col("o_orderdate").cast("date").cast("string").alias("date"),  # no time zone involved
         F.month("o_orderdate").cast("int").alias("month"),
         F.year("o_orderdate").cast("int").alias("year"),
         F.col("l_quantity").alias("sfc_temp"),

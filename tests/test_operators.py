@@ -221,3 +221,15 @@ def test_csv_sink_roundtrip(spark, tmp_path):
     assert _sorted(back.collect()) == [(1, "MAB", "Spring", 0.5), (2, "GB", "Fall", None)]
     header = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")).read_text()
     assert header.splitlines()[0] == '"row_id","region_name","season","sd"'
+
+
+def test_first_by_leading_equals_first_by(spark):
+    from driftline.operators.dedupe import first_by_leading
+    rows = [("a", 3, 1, "x"), ("a", 1, 2, "y"), ("a", 1, 1, "z"), ("b", None, 5, "n1"),
+            ("b", None, 4, "n2"), ("c", None, 1, "m"), ("c", 7, 9, "k"), (None, 2, 2, "nk")]
+    df = spark.createDataFrame(rows, "g STRING, lead BIGINT, tie INT, v STRING")
+    order = asc_nulls_last(["lead", "tie"])
+    want = _sorted(first_by(df, ["g"], order).collect())
+    got = _sorted(first_by_leading(df, ["g"], "lead", order).collect())
+    assert got == want == _sorted([("a", 1, 1, "z"), ("b", None, 4, "n2"), ("c", 7, 9, "k"),
+                                   (None, 2, 2, "nk")])
