@@ -28,8 +28,8 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_id") ->
         "_part",
         F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"))
-    # one row per partition of the sorted data
-    n_parts = tagged.rdd.getNumPartitions()
+    # one row per partition of the range-partitioned sort (at most the shuffle partitions)
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = (tagged.withColumn("_part", part)
                       .join(broadcast_bounded(offsets, n_parts), "_part")
                       .withColumn(name, F.col("_offset") + local + 1))

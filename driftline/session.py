@@ -33,10 +33,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def _is_local(spark: SparkSession) -> bool:
-    try:
-        return spark.sparkContext.master.startswith("local")
-    except Exception:  # pragma: no cover - Spark Connect has no SparkContext
-        return False
+    return spark.conf.get("spark.master", "").startswith("local")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -46,8 +43,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     one gets a fresh folder of its own (as in tests); a cluster session must
     name a shared folder, since executors on other hosts read it back.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,6 +57,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 "spark.checkpoint.dir is unset: name a shared folder (HDFS/S3/...) "
                 "that every executor can reach")
         configured = tempfile.mkdtemp(prefix="driftline-ckpt-")
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", configured)
+            return configured
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
