@@ -10,30 +10,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.numeric import infinity, nan_to_null, row_sum
 
 
-def min_positive(df: DataFrame, keys: Sequence[str], value: str, name: str = "min_nonzero",
-                 empty: str = "inf") -> DataFrame:
-    """Per group, the smallest value above zero.
+def positive_min(value: str, empty: str = "inf") -> Column:
+    """Aggregate: the smallest value above zero.
 
     A group without any positive value gets +Infinity (``empty='inf'``, what
     R's ``min`` of an empty vector gives) or NULL (``empty='null'``).
     """
     m = F.min(F.when(F.col(value) > 0, nan_to_null(value)))
     if empty == "inf":
-        m = F.coalesce(m, infinity())
-    elif empty != "null":
+        return F.coalesce(m, infinity())
+    if empty != "null":
         raise ValueError(f"empty must be 'inf' or 'null', not {empty!r}")
-    return df.groupBy(*keys).agg(m.alias(name))
+    return m
+
+
+def plain_min(value: str) -> Column:
+    """Aggregate: the smallest value (rows are already filtered by the caller)."""
+    return F.min(nan_to_null(value))
+
+
+def min_positive(df: DataFrame, keys: Sequence[str], value: str, name: str = "min_nonzero",
+                 empty: str = "inf") -> DataFrame:
+    """Per group, the smallest value above zero (see :func:`positive_min`)."""
+    return df.groupBy(*keys).agg(positive_min(value, empty).alias(name))
 
 
 def group_min(df: DataFrame, keys: Sequence[str], value: str, name: str = "min_nonzero") -> DataFrame:
-    """Per group, the smallest value (rows are already filtered by the caller)."""
-    return df.groupBy(*keys).agg(F.min(nan_to_null(value)).alias(name))
+    """Per group, the smallest value."""
+    return df.groupBy(*keys).agg(plain_min(value).alias(name))
 
 
 def group_row_sum(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str) -> DataFrame:

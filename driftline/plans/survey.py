@@ -20,7 +20,7 @@ Physical shape (same at any scale):
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +29,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 
 from driftline import constants as C
 from driftline.functions.classify import region_name, region_names, season
-from driftline.functions.numeric import half_min_log, infinity, nan_to_null, row_sum
+from driftline.functions.numeric import half_min_log, row_sum
 from driftline.operators.columns import others_first, relocate, relocate_all, select_positions
 from driftline.operators.dedupe import (asc_nulls_last, first_by, first_by_leading,
                                         prefer_then_first)
@@ -37,6 +37,8 @@ from driftline.operators.joins import attach
 from driftline.operators.series import (
     annual_mean,
     group_row_sum,
+    plain_min,
+    positive_min,
     running_mean,
     with_weighted_sd,
     with_year_sd,
@@ -284,13 +286,8 @@ def prepared(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> DataFrame:
 def _minimum(spec: SeriesSpec):
     """Aggregate expression of the offset minimum."""
     if spec.zero_policy == "drop":
-        return F.min(nan_to_null(spec.value))
-    m = F.min(F.when(F.col(spec.value) > 0, nan_to_null(spec.value)))
-    if spec.empty_min == "inf":
-        return F.coalesce(m, infinity())
-    if spec.empty_min != "null":
-        raise ValueError(f"empty_min must be 'inf' or 'null', not {spec.empty_min!r}")
-    return m
+        return plain_min(spec.value)
+    return positive_min(spec.value, spec.empty_min)
 
 
 def minimum_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
