@@ -18,8 +18,19 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def asc_nulls_last(cols: Sequence[str | Column]) -> list[Column]:
-    """Ordering-key parts for ascending order with missing values last."""
+    """Ordering key for ascending order with missing values last.
+
+    Column names become one ``struct(isnull(a), a, isnull(b), b, ...)``
+    expression (struct comparison is lexicographic), built in one call.
+    """
+    if all(isinstance(c, str) for c in cols):
+        parts = ", ".join(f"isnull({_quoted(c)}), {_quoted(c)}" for c in cols)
+        return [F.expr(f"struct({parts})")]
     out: list[Column] = []
     for c in cols:
         x = _col(c)
@@ -43,13 +54,14 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     Column order of ``df`` is kept.
     """
     keys = list(keys)
-    payload = [c for c in df.columns if c not in keys]
+    cols = df.columns
+    payload = [c for c in cols if c not in keys]
     if not payload:
         return df.dropDuplicates(keys)
-    picked = (df.groupBy(*keys)
-                .agg(F.min_by(F.struct(*payload), F.struct(*order)).alias("_first")))
-    return picked.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload]) \
-                 .select(*df.columns)
+    row = F.expr("struct(" + ", ".join(_quoted(c) for c in payload) + ")")
+    picked = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_first"))
+    return picked.selectExpr(*[_quoted(c) if c in keys else f"_first.{_quoted(c)} AS {_quoted(c)}"
+                               for c in cols])
 
 
 def first_by_leading(df: DataFrame, keys: Sequence[str], lead: str,

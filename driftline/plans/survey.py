@@ -30,7 +30,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 from driftline import constants as C
 from driftline.functions.classify import region_name, region_names, season
 from driftline.functions.numeric import half_min_log, row_sum
-from driftline.operators.columns import others_first, relocate, relocate_all, select_positions
+from driftline.operators.columns import layout, select_positions
 from driftline.operators.dedupe import (asc_nulls_last, first_by, first_by_leading,
                                         prefer_then_first)
 from driftline.operators.joins import attach
@@ -219,11 +219,8 @@ class Series:
         s, n = self.spec, self.spec.names
         left = self._stats.select(n.region, "year", "season", n.mean, n.run, n.sd)
         out = attach(left, self.first_rows(), self.keys, broadcast=self.small)
-        out = others_first(out, [n.region, "year", "season", n.mean, n.run])
-        out = relocate_all(out, s.layout)
-        if n.log in out.columns:
-            out = relocate(out, n.mean, n.log)
-        return out
+        moves = list(s.layout) + [(n.mean, n.log)]
+        return out.select(*layout(out.columns, [n.region, "year", "season", n.mean, n.run], moves))
 
     def layers(self) -> DataFrame:
         """Chart data: tow log values, annual means, running means in one long table."""
