@@ -65,6 +65,15 @@ def annual_mean(df: DataFrame, keys: Sequence[str], value: str, name: str,
     return df.groupBy(*keys).agg(*aggs)
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _present(name: str) -> str:
+    """SQL for the value with NaN read as missing."""
+    return f"CASE WHEN isnan({_q(name)}) THEN NULL ELSE {_q(name)} END"
+
+
 def running_mean(df: DataFrame, part: Sequence[str], order: str, value: str, name: str,
                  k: int = 5, complete: bool = False) -> DataFrame:
     """Trailing mean over the current row and the ``k - 1`` rows before it.
@@ -73,14 +82,13 @@ def running_mean(df: DataFrame, part: Sequence[str], order: str, value: str, nam
     ``complete=False``: partial windows at the start, missing values skipped.
     ``complete=True``: NULL unless the frame holds ``k`` rows, all present.
     """
-    w = (Window.partitionBy(*part).orderBy(F.col(order).asc_nulls_last())
-         .rowsBetween(-(k - 1), Window.currentRow))
-    x = nan_to_null(value)
-    mean = F.avg(x).over(w)
+    w = (f"PARTITION BY {', '.join(map(_q, part))} ORDER BY {_q(order)} ASC NULLS LAST "
+         f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW")
+    x = _present(value)
+    mean = f"avg({x}) OVER ({w})"
     if complete:
-        full = (F.count(F.lit(1)).over(w) == k) & (F.count(x).over(w) == k)
-        mean = F.when(full, mean)
-    return df.withColumn(name, mean)
+        mean = f"CASE WHEN count(1) OVER ({w}) = {k} AND count({x}) OVER ({w}) = {k} THEN {mean} END"
+    return df.withColumn(name, F.expr(mean))
 
 
 def weighted_sd(annual: DataFrame, part: Sequence[str], value: str, weight: str,
@@ -99,14 +107,14 @@ def weighted_sd(annual: DataFrame, part: Sequence[str], value: str, weight: str,
 def with_weighted_sd(annual: DataFrame, part: Sequence[str], value: str, weight: str,
                      name: str) -> DataFrame:
     """:func:`weighted_sd` written onto every annual row (windows over ``part``)."""
-    x = nan_to_null(value)
-    k = F.when(x.isNotNull(), F.col(weight))
-    w = Window.partitionBy(*part)
-    n = F.sum(k).over(w)
-    mean = F.try_divide(F.sum(k * x).over(w), n)
-    tmp = annual.withColumn("_n", n).withColumn("_m", mean)
-    ss = F.sum(k * F.pow(x - F.col("_m"), 2)).over(w)
-    sd = F.when(F.col("_n") > 1, F.sqrt(F.try_divide(ss, F.col("_n") - 1)))
+    x = _present(value)
+    k = f"CASE WHEN {x} IS NOT NULL THEN {_q(weight)} END"
+    w = f"PARTITION BY {', '.join(map(_q, part))}"
+    n = f"sum({k}) OVER ({w})"
+    tmp = annual.withColumns({"_n": F.expr(n),
+                              "_m": F.expr(f"try_divide(sum({k} * {x}) OVER ({w}), {n})")})
+    ss = f"sum({k} * pow({x} - _m, 2)) OVER ({w})"
+    sd = F.expr(f"CASE WHEN _n > 1 THEN sqrt(try_divide({ss}, _n - 1)) END")
     return tmp.withColumn(name, sd).drop("_n", "_m")
 
 

@@ -12,7 +12,6 @@ ISO text sorts chronologically.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from driftline.sources.tables import read_table
 
@@ -55,26 +54,22 @@ def tow_view(spark: SparkSession, root: str) -> DataFrame:
     ords = (orders.hint("merge").join(cust, orders.o_custkey == cust.c_custkey)
                   .select("o_orderkey", "c_mktsegment", "c_custkey", "o_orderpriority",
                           "o_orderstatus", "n_regionkey", "o_orderdate"))
-    rf, ls, disc, tax = (F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_discount"),
-                         F.col("l_tax"))
-    tow = li.hint("merge").join(ords, li.l_orderkey == ords.o_orderkey).select(
-        F.col("c_mktsegment").alias("cruise_name"),
-        F.col("c_custkey").cast("bigint").alias("station"),
-        F.when(F.col("o_orderpriority") == BLANK_ZOO_GEAR, F.lit(""))
-         .otherwise(F.col("o_orderpriority")).alias("zoo_gear"),
-        F.when(F.col("o_orderstatus") == BLANK_ICH_GEAR, F.lit(""))
-         .otherwise(F.col("o_orderstatus")).alias("ich_gear"),
-        F.col("n_regionkey").alias("region"),
-        F.col("o_orderdate").cast("date").cast("string").alias("date"),  # no time zone involved
-        F.month("o_orderdate").cast("int").alias("month"),
-        F.year("o_orderdate").cast("int").alias("year"),
-        F.col("l_quantity").alias("sfc_temp"),
-        F.when(rf == "A", tax).alias("f1_10m2"),
-        F.when(rf == "R", tax).alias("f2_10m2"),
-        F.when(rf == "N", disc).alias("f3_10m2"),
-        F.when(ls == "F", disc).alias("f4_10m2"),
-        F.when(disc > 0.095, F.lit(None).cast("double"))
-         .otherwise(F.col("l_extendedprice") * disc).alias("volume_1m2"),
+    tow = li.hint("merge").join(ords, li.l_orderkey == ords.o_orderkey).selectExpr(
+        "c_mktsegment AS cruise_name",
+        "CAST(c_custkey AS BIGINT) AS station",
+        f"CASE WHEN o_orderpriority = '{BLANK_ZOO_GEAR}' THEN '' ELSE o_orderpriority END AS zoo_gear",
+        f"CASE WHEN o_orderstatus = '{BLANK_ICH_GEAR}' THEN '' ELSE o_orderstatus END AS ich_gear",
+        "n_regionkey AS region",
+        "CAST(CAST(o_orderdate AS DATE) AS STRING) AS date",  # no time zone involved
+        "CAST(month(o_orderdate) AS INT) AS month",
+        "CAST(year(o_orderdate) AS INT) AS year",
+        "l_quantity AS sfc_temp",
+        "CASE WHEN l_returnflag = 'A' THEN l_tax END AS f1_10m2",
+        "CASE WHEN l_returnflag = 'R' THEN l_tax END AS f2_10m2",
+        "CASE WHEN l_returnflag = 'N' THEN l_discount END AS f3_10m2",
+        "CASE WHEN l_linestatus = 'F' THEN l_discount END AS f4_10m2",
+        "CASE WHEN l_discount > 0.095 THEN CAST(NULL AS DOUBLE) "
+        "ELSE l_extendedprice * l_discount END AS volume_1m2",
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
     )
     return tow
