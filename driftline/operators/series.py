@@ -65,6 +65,16 @@ def annual_mean(df: DataFrame, keys: Sequence[str], value: str, name: str,
     return df.groupBy(*keys).agg(*aggs)
 
 
+def weighted_annual_mean(df: DataFrame, keys: Sequence[str], value: str, name: str,
+                         rows: str, weight: str) -> DataFrame:
+    """:func:`annual_mean` over a table where each entry stands for ``rows`` identical rows."""
+    x = nan_to_null(value)
+    w = F.col(rows)
+    return df.groupBy(*keys).agg(
+        F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w))).alias(name),
+        F.sum(w).alias(weight))
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

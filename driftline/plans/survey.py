@@ -23,7 +23,7 @@ import functools
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
@@ -40,6 +40,7 @@ from driftline.operators.series import (
     plain_min,
     positive_min,
     running_mean,
+    weighted_annual_mean,
     with_weighted_sd,
     with_year_sd,
     year_sd,
@@ -48,6 +49,7 @@ from driftline.operators.reshape import layer_table
 from driftline.plans.materialize import MAX_BROADCAST_ROWS, reuse
 
 WEIGHT = "_tows"
+ROWS = "_rows"  # rows an entry stands for
 FIXED_WIDTH = (NumericType, DateType, TimestampType, TimestampNTZType)
 
 
@@ -121,10 +123,13 @@ class Series:
     known before that table is computed.
     """
 
-    def __init__(self, logged: DataFrame, spec: SeriesSpec, annual_bound: int):
+    def __init__(self, logged: DataFrame, spec: SeriesSpec, annual_bound: int,
+                 entries: DataFrame | None = None):
         self.logged = logged
         self.spec = spec
         self.annual_bound = annual_bound
+        # optional: one entry per group of identical rows, with the row count in ROWS
+        self.entries = entries
         n = spec.names
         self.keys = [n.region, "season", "year"]
         self.part = [n.region, "season"]
@@ -144,7 +149,10 @@ class Series:
         so the windows and aggregates over it need no further exchange.
         """
         n = self.spec.names
-        a = annual_mean(self.logged, self.keys, n.log, n.mean, weight=WEIGHT)
+        if self.entries is not None:
+            a = weighted_annual_mean(self.entries, self.keys, n.log, n.mean, ROWS, WEIGHT)
+        else:
+            a = annual_mean(self.logged, self.keys, n.log, n.mean, weight=WEIGHT)
         return a.repartition(1) if self.small else a
 
     @property
@@ -236,7 +244,8 @@ class Series:
         is missing; the reference would return no rows at all if one were.
         """
         cond = F.col("year") >= lo if hi is None else F.col("year").between(lo, hi)
-        return Series(self.logged.filter(cond), self.spec, self.annual_bound)
+        entries = None if self.entries is None else self.entries.filter(cond)
+        return Series(self.logged.filter(cond), self.spec, self.annual_bound, entries)
 
 
 # -- building the tow-level tables --------------------------------------------
@@ -316,8 +325,13 @@ def analyse(tows: DataFrame, spec: SeriesSpec) -> Series:
     caller computes; the prepared tow table between them is kept.
     """
     n = spec.names
-    base = prepared(tows, spec)
-    rows = _group_stats(base, spec)
+    entries = _sample_entries(tows, spec)
+    if entries is not None:
+        base = prepared(tows, spec, keep=False)  # row level, built only if a row output is asked
+        rows = _group_stats(entries, spec)
+    else:
+        base = prepared(tows, spec)
+        rows = _group_stats(base, spec)
     minimum = None
     for r in rows:
         hit = F.col(n.region).eqNullSafe(r[n.region]) & F.col("season").eqNullSafe(r["season"])
@@ -326,9 +340,41 @@ def analyse(tows: DataFrame, spec: SeriesSpec) -> Series:
     minimum = F.lit(None).cast("double") if minimum is None else minimum
     # years spanned per group, plus one row for a missing year
     bound = sum((r["_hi"] - r["_lo"] + 2) if r["_hi"] is not None else 1 for r in rows)
-    logged = base.withColumn(n.minimum, minimum)
-    logged = logged.withColumn(n.log, half_min_log(spec.value, n.minimum, spec.log_base))
-    return Series(logged, spec, bound)
+    log = half_min_log(spec.value, n.minimum, spec.log_base)
+    logged = base.withColumn(n.minimum, minimum).withColumn(n.log, log)
+    if entries is not None:
+        entries = entries.withColumn(n.minimum, minimum).withColumn(n.log, log)
+    return Series(logged, spec, bound, entries)
+
+
+def _sample_entries(tows: DataFrame, spec: SeriesSpec) -> DataFrame | None:
+    """Group-sum variant: one entry per (sample, month, year) with its row count.
+
+    Every row of a sample carries the sample's total, and every row of an
+    entry has the same region, season and year, so annual means, minima and
+    SDs computed over entries weighted by ``ROWS`` equal those over rows. Two
+    partial aggregates and a join of the two small results replace the join
+    of the totals back onto every row. ``None`` when the variant also needs
+    row-level steps (projection by name, sampled filter, dedupe).
+    """
+    if spec.sum_mode != "group" or not spec.parts or spec.keep or spec.sampled or spec.dedupe_keys:
+        return None
+    if set(spec.drop_missing) - {spec.value} or "region" not in spec.sum_keys:
+        return None
+    out = select_positions(tows, spec.positions) if spec.positions else tows
+    keys = list(spec.sum_keys)
+    # one pass: partial sum and row count per (sample, month, year); the sample
+    # total is then a window over these few entries per sample (never over rows)
+    entries = (out.groupBy(*keys, "month", "year")
+                  .agg(F.sum(row_sum(spec.parts)).alias("_part"), F.count(F.lit(1)).alias(ROWS))
+                  .withColumn(spec.value, F.sum("_part").over(Window.partitionBy(*keys)))
+                  .drop("_part"))
+    entries = classify(entries, spec)
+    if spec.drop_missing:
+        entries = entries.dropna(subset=list(spec.drop_missing))
+    if spec.zero_policy == "drop":
+        entries = entries.filter(F.col(spec.value) != 0)
+    return reuse(entries)
 
 
 def year_weighted_by_code(series: Series, code: str = "region") -> DataFrame:
@@ -338,7 +384,8 @@ def year_weighted_by_code(series: Series, code: str = "region") -> DataFrame:
     contributes that year's mean once.
     """
     n = series.spec.names
-    combos = series.logged.select(code, n.region, "season", "year").distinct()
+    source = series.logged if series.entries is None else series.entries
+    combos = source.select(code, n.region, "season", "year").distinct()
     per_code = attach(combos, series.annual, series.keys, broadcast=series.small)
     return year_sd(per_code, [code, "season"], n.mean, n.sd)
 

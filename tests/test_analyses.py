@@ -150,3 +150,26 @@ def test_periods_never_overlap(spark, tows):
     # the offset minimum comes from the whole record, also inside a period
     assert {r.min_nonzero for r in s.period(*C.EARLY_PERIOD).logged.collect()} <= \
         {r.min_nonzero for r in s.logged.collect()}
+
+
+def test_draft_entries_equal_row_path(spark, tows, monkeypatch):
+    """Group-sum variant: weighted (sample, month, year) entries give the row-level results."""
+    from driftline.plans import survey
+    from driftline.plans.survey import draft_fish, year_weighted_by_code
+    rows = random_tows(n=300, seed=21)
+    spec = draft_fish()
+
+    def results():
+        s = analyse(tows(rows), spec)
+        summ = {tuple(r[:3]): tuple(r[3:]) for r in s.summary().collect()}
+        by_code = {tuple(r[:2]): r[2] for r in year_weighted_by_code(s).collect()}
+        return s.entries is not None, summ, by_code
+
+    used, summ_e, code_e = results()
+    monkeypatch.setattr(survey, "_sample_entries", lambda tows, spec: None)
+    unused, summ_r, code_r = results()
+    assert used and not unused
+    assert summ_e.keys() == summ_r.keys() and code_e.keys() == code_r.keys()
+    for k in summ_r:
+        assert all(_close(a, b) for a, b in zip(summ_e[k], summ_r[k])), k
+    assert all(_close(code_e[k], code_r[k]) for k in code_r)
