@@ -173,3 +173,29 @@ def test_draft_entries_equal_row_path(spark, tows, monkeypatch):
     for k in summ_r:
         assert all(_close(a, b) for a, b in zip(summ_e[k], summ_r[k])), k
     assert all(_close(code_e[k], code_r[k]) for k in code_r)
+
+
+def test_survey_csv_through_the_analysis(spark, tmp_path):
+    """The user path: survey CSV (NA = missing) -> file order -> maintained analyses."""
+    from driftline.sources.csv import read_csv, with_file_order
+    rows = random_tows(n=250, seed=17)
+    cols = ["cruise_name", "station", "zoo_gear", "ich_gear", "region", "date", "month", "year",
+            *C.FORAGE_FISH, "volume_1m2"]
+
+    def cell(v):
+        return "NA" if v is None else (f'"{v}"' if isinstance(v, str) else str(v))
+    text = ",".join(cols) + "\n" + "\n".join(",".join(cell(r[c]) for c in cols) for r in rows) + "\n"
+    path = tmp_path / "survey.csv"
+    path.write_text(text)
+    schema = ("cruise_name STRING, station INT, zoo_gear STRING, ich_gear STRING, region INT, "
+              "date STRING, month INT, year INT, cluhar_10m2 DOUBLE, scosco_10m2 DOUBLE, "
+              "pepspp_10m2 DOUBLE, ammspp_10m2 DOUBLE, volume_1m2 DOUBLE")
+    tows = with_file_order(read_csv(spark, str(path), schema).coalesce(1))
+    for fish in (True, False):
+        spec = maintained_fish() if fish else maintained_volume()
+        n = spec.names
+        df, annual, first, lbl = literal(rows, fish)
+        want = {(a, b): v for a, b, v in zip(df["region_name"], df["season"], df["sd"])}
+        got = {(r[n.region], r.season): r[n.sd] for r in analyse(tows, spec).report().collect()}
+        assert got.keys() == want.keys()
+        assert all(_close(want[k], got[k]) for k in want)
