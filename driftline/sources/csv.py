@@ -13,16 +13,22 @@ from driftline.operators.ordering import number_rows
 MISSING = "NA"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str,
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
              missing: str = MISSING) -> DataFrame:
-    """Header CSV with an explicit schema; ``NA`` and unquoted blanks are missing.
+    """Header CSV; ``NA`` and unquoted blanks are missing.
 
+    ``schema`` must list every column of the file in file order (Spark applies
+    it by position). Without one, types are inferred in one extra pass over the
+    file and columns are named from the header, which suits wide survey files.
     A quoted empty string stays an empty string, so blank text tests must
     accept both (``driftline.operators.quality.is_blank``). NaN text in
     numeric columns parses to NaN; operators map it to NULL where it matters.
     """
-    return (spark.read.option("header", True).option("nullValue", missing)
-                 .option("mode", "FAILFAST").schema(schema).csv(path))
+    reader = (spark.read.option("header", True).option("nullValue", missing)
+                   .option("mode", "FAILFAST"))
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    return reader.schema(schema).csv(path)
 
 
 def with_file_order(df: DataFrame, name: str = "_row") -> DataFrame:
