@@ -5,9 +5,10 @@ zooplankton volume).
 Physical shape (same at any scale):
 
 * the tow table is scanned with only the needed columns; filters reach the scan;
-* the fish variant dedupes samples with one aggregate (the only wide shuffle);
-  the prepared tow table is written once to the shared checkpoint folder,
-  since several passes read it;
+* the fish variant dedupes samples with one aggregate (its only wide shuffle);
+  the group-sum variant aggregates rows to weighted (sample, month, year)
+  entries; the prepared table is written once to the shared checkpoint
+  folder, since several passes read it;
 * the per-(region, season) minimum and year span are one partial aggregate of
   at most regions x seasons rows; the minimum goes back as a literal lookup
   expression (no join), the year span bounds the annual table's size;
