@@ -319,19 +319,22 @@ def _group_stats(base: DataFrame, spec: SeriesSpec) -> list:
     return rows
 
 
-def analyse(tows: DataFrame, spec: SeriesSpec) -> Series:
+def analyse(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> Series:
     """Run the transform step and return the lazily built outputs.
 
     Two actions in all: the group statistics here, and whatever output the
-    caller computes; the prepared tow table between them is kept.
+    caller computes. With ``keep`` the prepared table between them is written
+    once (worth it when ``tows`` is derived: joins, a dedupe, a CSV); pass
+    ``keep=False`` for a plain columnar table, whose pruned re-reads cost no
+    more than a written copy.
     """
     n = spec.names
-    entries = _sample_entries(tows, spec)
+    entries = _sample_entries(tows, spec, keep)
     if entries is not None:
         base = prepared(tows, spec, keep=False)  # row level, built only if a row output is asked
         rows = _group_stats(entries, spec)
     else:
-        base = prepared(tows, spec)
+        base = prepared(tows, spec, keep=keep)
         rows = _group_stats(base, spec)
     minimum = None
     for r in rows:
@@ -348,7 +351,7 @@ def analyse(tows: DataFrame, spec: SeriesSpec) -> Series:
     return Series(logged, spec, bound, entries)
 
 
-def _sample_entries(tows: DataFrame, spec: SeriesSpec) -> DataFrame | None:
+def _sample_entries(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> DataFrame | None:
     """Group-sum variant: one entry per (sample, month, year) with its row count.
 
     Every row of a sample carries the sample's total, and every row of an
@@ -375,7 +378,7 @@ def _sample_entries(tows: DataFrame, spec: SeriesSpec) -> DataFrame | None:
         entries = entries.dropna(subset=list(spec.drop_missing))
     if spec.zero_policy == "drop":
         entries = entries.filter(F.col(spec.value) != 0)
-    return reuse(entries)
+    return reuse(entries) if keep else entries
 
 
 def year_weighted_by_code(series: Series, code: str = "region") -> DataFrame:

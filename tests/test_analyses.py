@@ -166,7 +166,7 @@ def test_draft_entries_equal_row_path(spark, tows, monkeypatch):
         return s.entries is not None, summ, by_code
 
     used, summ_e, code_e = results()
-    monkeypatch.setattr(survey, "_sample_entries", lambda tows, spec: None)
+    monkeypatch.setattr(survey, "_sample_entries", lambda tows, spec, keep=True: None)
     unused, summ_r, code_r = results()
     assert used and not unused
     assert summ_e.keys() == summ_r.keys() and code_e.keys() == code_r.keys()
@@ -199,3 +199,11 @@ def test_survey_csv_through_the_analysis(spark, tmp_path):
         got = {(r[n.region], r.season): r[n.sd] for r in analyse(tows, spec).report().collect()}
         assert got.keys() == want.keys()
         assert all(_close(want[k], got[k]) for k in want)
+
+
+def test_keep_false_gives_the_same_report(spark, tows):
+    rows = random_tows(seed=13)
+    for spec in (maintained_fish(), maintained_volume()):
+        a = {tuple(r[:2]): r[2] for r in analyse(tows(rows), spec).report().collect()}
+        b = {tuple(r[:2]): r[2] for r in analyse(tows(rows), spec, keep=False).report().collect()}
+        assert a.keys() == b.keys() and all(_close(a[k], b[k]) for k in a)
