@@ -99,3 +99,16 @@ def test_dedupe_is_an_aggregate_not_a_window(no_aqe):
     names = [n.text.split(" ")[0].split("(")[0] for n in tree.walk()]
     assert not any(x.startswith("Window") for x in names)
     assert any("Aggregate" in x for x in names)
+
+
+@pytest.mark.parametrize("name", ["q_zoo_full", "q_sd_weighted", "q_group_broadcast"])
+def test_tow_level_outputs_do_not_shuffle_tows(no_aqe, name):
+    from driftline.plans.catalog import QUERIES
+    tree = plan_tree(QUERIES[name](no_aqe, SF))
+    ops = [n.text.split(" ")[0] for n in tree.walk()]
+    assert "SortMergeJoin" not in ops and "ShuffledHashJoin" not in ops
+    assert "BroadcastHashJoin" in ops
+    # the only exchanges feed the small annual table (partial aggregate, then one partition)
+    for n in tree.walk():
+        if n.text.startswith("Exchange hashpartitioning"):
+            assert any(m.text.startswith("HashAggregate") for m in n.children), n.text[:100]
