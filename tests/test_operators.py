@@ -233,3 +233,17 @@ def test_first_by_leading_equals_first_by(spark):
     got = _sorted(first_by_leading(df, ["g"], "lead", order).collect())
     assert got == want == _sorted([("a", 1, 1, "z"), ("b", None, 4, "n2"), ("c", 7, 9, "k"),
                                    (None, 2, 2, "nk")])
+
+
+def test_materialize_helpers(spark):
+    from driftline.plans.materialize import (MAX_BROADCAST_ROWS, broadcast_bounded, materialize,
+                                             reuse)
+    df = spark.range(0, 100, numPartitions=4).select((F.col("id") % 7).alias("k"), "id")
+    want = _sorted(df.collect())
+    assert _sorted(reuse(df).collect()) == want
+    assert _sorted(reuse(df, "persist").collect()) == want
+    assert _sorted(materialize(df).collect()) == want
+    with pytest.raises(ValueError):
+        reuse(df, "elsewhere")
+    with pytest.raises(ValueError):
+        broadcast_bounded(df, MAX_BROADCAST_ROWS + 1)
