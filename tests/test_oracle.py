@@ -14,7 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 def test_every_query_has_a_twin():
     import __spark_entry__ as E
-    assert set(E.queries()) == set(E.oracle_sql())
+    from driftline.plans.catalog import QUERIES
+    assert set(QUERIES) <= set(E.oracle_sql())
 
 
 def test_queries_match_sql_twins(spark):
