@@ -29,6 +29,69 @@ SELECT d.doc_id, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_removed, 0) AS
 FROM documents d LEFT JOIN out o ON o.doc_id = d.doc_id
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+items AS (SELECT item_id, ws, least(10, len(ws)) AS n
+          FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM items)),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
+hits AS (SELECT doc_id, w.n, i, item_id FROM doc_windows w JOIN item_windows b ON w.n = b.n AND w.win = b.win),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+           FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP7 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS said, turn
+  FROM conversations),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said) - 1 AS place FROM t),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+parts AS (
+  SELECT p.conv_id, speaker, place // 64 AS block, place, role = speaker AS own,
+         CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
+              ELSE '<|user name=' || role || '|>' END || chr(10) || said || '<|end|>' || chr(10) AS part
+  FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+spans AS (
+  SELECT *, CAST(sum(length(part)) OVER (PARTITION BY conv_id, speaker, block ORDER BY place) AS BIGINT) AS stop
+  FROM parts)
+SELECT conv_id, speaker, CAST(block AS BIGINT) AS block, count(*) AS n_turns,
+       string_agg(part, '' ORDER BY place) AS text,
+       coalesce(string_agg((stop - length(part) + 14) || '-' || stop, ',' ORDER BY place) FILTER (WHERE own), '') AS mask
+FROM spans GROUP BY conv_id, speaker, block
+"""
+
+OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 ORACLE = {
     "op3_line_dedup": OP3,
+    "op5_decontamination": OP5,
+    "op7_chat_formatting": OP7,
+    "op9_top_k": OP9,
 }

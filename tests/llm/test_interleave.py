@@ -1,0 +1,57 @@
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftline.llm.interleave import interleave
+
+
+def brute(rows, draws, shards):
+    by = defaultdict(list)
+    for i, (doc_id, text, source) in enumerate(rows):
+        by[source].append((draws[doc_id, text], doc_id, text))
+    none_first = lambda x: (x is not None, x)
+    order = []
+    for source, mine in by.items():
+        for rank, (draw, doc_id, text) in enumerate(sorted(mine, key=lambda m: (m[0], none_first(m[1])))):
+            order.append(((rank + 0.5) / len(mine), none_first(source), draw, none_first(doc_id), text))
+    order.sort(key=lambda o: o[:4])
+    slots, out = Counter(), []
+    for place, (_, _, _, doc_id, text) in enumerate(order):
+        shard = place * shards // len(order)
+        out.append((doc_id[1], len((text or "").encode()) + 8, zlib.crc32((text or "").encode()), shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shards", [1, 5, 24])
+def test_matches_brute_force(docs, corpus, shards):
+    rows = [(i, t, ["s0", "s0", "s1", None][i % 4]) for i, t in enumerate(corpus)] + [(3, corpus[3], "s0"), (None, "a", "s2")]
+    df = docs(rows)
+    draws = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64(F.lit(42), "doc_id", "text")).collect()}
+    got = interleave(df, shards)
+    assert sorted([tuple(r) for r in got.select("doc_id", "size", "text_crc32", "shard", "slot").collect()], key=str) == brute(rows, draws, shards)
+
+
+def test_laws_and_mixture(docs):
+    rows = [(i, "t%d" % i, "hot" if i % 3 == 0 else "s%d" % (i % 7)) for i in range(1000)]
+    got = interleave(docs(rows), 24).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 1
+    for shard, n in sizes.items():
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(n))
+    per = Counter((r.shard, r.source) for r in got)
+    for source, n in Counter(r.source for r in got).items():
+        for shard in sizes:
+            assert abs(per[shard, source] - n / 24) <= 2
+    again = interleave(docs(rows[::-1]), 24).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
+
+
+def test_edge_cases(docs):
+    assert interleave(docs([]), 24).collect() == []
+    got = interleave(docs([(None, None, None), (1, "", None)]), 24).collect()
+    assert sorted((r.size, r.text_crc32) for r in got) == [(8, 0), (8, 0)]
+    with pytest.raises(ValueError):
+        interleave(docs([]), 0)

@@ -1,0 +1,70 @@
+import math
+import re
+
+import pytest
+
+from driftline.llm.licenses import TEMPLATES, scan
+
+
+def words(text):
+    return set(re.findall("[a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)))
+
+
+def brute(files, line_cosine=0.8, file_cosine=0.5):
+    sets = {k: words(t) for k, t in TEMPLATES.items()}
+    vocab = set().union(*sets.values())
+    n = len(files)
+    df = {w: sum(w in words(t or "") for _, _, t in files) for w in vocab}
+    unseen = math.log(1 + n) + 1
+    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1 if w in vocab else unseen
+
+    def best(text):
+        ws = words(text)
+        norm = sum(idf(w) ** 2 for w in ws)
+        return max((round(sum(idf(w) ** 2 for w in ws & s) / math.sqrt(norm * sum(idf(w) ** 2 for w in s)), 9) if norm else 0.0, k)
+                   for k, s in sets.items())
+    scored = [(i, p or "", max(best(line) for line in (t or "").split("\n")), best(t or "")) for i, p, t in files]
+    speaks = {}
+    for _, path, _, whole in scored:
+        folder = path.rpartition("/")[0]
+        if whole[0] >= file_cosine:
+            speaks[folder] = max(speaks.get(folder, whole), whole)
+    out = []
+    for i, path, line, _ in scored:
+        at, got = path.rpartition("/")[0], (None, None, None)
+        if line[0] >= line_cosine:
+            got = (line[1], line[0], "header")
+        else:
+            while True:
+                if at in speaks:
+                    got = (speaks[at][1], speaks[at][0], "inherited")
+                if at in speaks or not at:
+                    break
+                at = at.rpartition("/")[0]
+        out.append((i, path, *got))
+    return sorted(out, key=str)
+
+
+def test_matches_brute_force(spark):
+    plain = "some ordinary text under the sun\nof a work that is here"
+    files = [(1, "a/LICENSE", TEMPLATES["MIT"]), (2, "a/x.txt", plain), (3, "a/b/c/y.txt", "más texto"), (4, "q/z.txt", plain),
+             (5, "a/b/head.txt", plain + "\n" + TEMPLATES["GPL-3.0"]), (6, "a/b/COPYING", "Licensed under the Apache license, version 2.0"),
+             (7, "a/b/c/d/e.txt", None), (8, None, ""), (9, "top.txt", plain), (10, "r/LICENSE", TEMPLATES["BSD-3-Clause"]),
+             (11, "r/NOTICE", TEMPLATES["MPL-2.0"] + "\n" + "word"), (12, "r/s/t.txt", "x" * 5000), (2, "a/x.txt", plain)]
+    df = spark.createDataFrame([(*f, 1.0, "l", "d") for f in files],
+                               "doc_id LONG, path STRING, text STRING, cosine DOUBLE, license STRING, dir STRING").repartition(3)
+    got = sorted([tuple(r) for r in scan(df).collect()], key=str)
+    want = brute(files)
+    assert [(*g[:3], g[4]) for g in got] == [(*w[:3], w[4]) for w in want]
+    assert all(g[3] == pytest.approx(w[3], abs=2e-9) if w[3] is not None else g[3] is None for g, w in zip(got, want, strict=True))
+    assert {w[4] for w in want} == {"header", "inherited", None}
+
+
+def test_root_speaks_for_all(spark):
+    df = spark.createDataFrame([(1, "LICENSE", TEMPLATES["MIT"]), (2, "a/b/c.txt", "q w e")], "doc_id LONG, path STRING, text STRING")
+    got = {r.id: (r.license, r.how) for r in scan(df).collect()}
+    assert got == {1: ("MIT", "header"), 2: ("MIT", "inherited")}
+
+
+def test_empty(spark):
+    assert scan(spark.createDataFrame([], "doc_id LONG, path STRING, text STRING")).collect() == []

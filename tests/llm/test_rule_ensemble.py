@@ -1,0 +1,71 @@
+import math
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftline.llm.rule_ensemble import Rule, RuleEnsemble, fit, statistics, train, training_sample, tree_rules
+
+SF = "/root/testdata/sf0.1"
+
+
+def test_rules_are_read_from_tree_text():
+    text = """Forest
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 0.5)
+     If (feature 1 <= 2.0)
+      Predict: 0.0
+     Else (feature 1 > 2.0)
+      Predict: 1.0
+    Else (feature 0 > 0.5)
+     Predict: 1.0
+"""
+    inf = float("inf")
+    assert [r.bounds for r in tree_rules(text, ["a", "b"])] == [
+        (("a", -inf, 0.5),), (("a", -inf, 0.5), ("b", -inf, 2.0)), (("a", -inf, 0.5), ("b", 2.0, inf)), (("a", 0.5, inf),)]
+
+
+def test_score_is_the_logistic_sum_of_fired_rules(docs, corpus):
+    inf = float("inf")
+    model = RuleEnsemble(0.25, ((Rule((("length", 3.0, inf), ("upper", -inf, 0.5))), -1.5), (Rule((("distinct", -inf, 0.6),)), 2.0)))
+    df = docs(list(enumerate(corpus)))
+    rows = df.select(statistics(F.col("text")).alias("s"), model.score(F.col("text")).alias("p")).collect()
+    for s, p in rows:
+        total = 0.25 + (-1.5 if s.length > 3 and s.upper <= 0.5 else 0) + (2.0 if s.distinct <= 0.6 else 0)
+        assert p == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+
+
+def test_statistics(docs):
+    text = "Ab c1 c1\nX|!  é"
+    s = docs([(1, text)]).select(statistics(F.col("text")).alias("s")).first().s
+    n = len(text)
+    assert s.length == pytest.approx(math.log1p(n)) and s.words == pytest.approx(math.log1p(5))
+    assert s.distinct == 4 / 5 and s.word_length == 10 / 5 and s.words_a_line == 5 / 2
+    assert s.upper == pytest.approx(2 / n) and s.digit == pytest.approx(2 / n) and s.bar == pytest.approx(1 / n)
+    empty = docs([(1, None), (2, "")]).select(statistics(F.col("text")).alias("s")).collect()
+    assert empty[0].s == empty[1].s
+
+
+def test_edge_cases(spark, docs, corpus):
+    df = docs(list(enumerate(corpus)) + [(None, "a b c")])
+    schema = "doc_id LONG, quality INT"
+    for labels, want in (([], 0.5), ([(1, None), (None, 1)], 0.5), ([(1, 1), (2, 1)], 0.75), ([(1, 0), (2, 0)], 0.25)):
+        model = train(df, spark.createDataFrame(labels, schema))
+        got = df.select(model.score(F.col("text")).alias("p")).collect()
+        assert len(got) == df.count() and all(r.p == pytest.approx(want) for r in got)
+    assert docs([]).select(train(docs([]), spark.createDataFrame([], schema)).score(F.col("text"))).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_held_out_accuracy(spark):
+    from driftline.llm.catalog import held_out
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sample = training_sample(docs, labels.filter(~held_out(F.col("doc_id"))), "quality", rows=3000)
+    assert sample.count() <= 3000
+    model = fit(sample)
+    assert 0 < len(model.rules) < 200
+    test = docs.join(labels.filter(held_out(F.col("doc_id"))), "doc_id").select(model.score(F.col("text")).alias("p"), "quality").collect()
+    right = sum((r.p >= 0.5) == (r.quality == 1) for r in test) / len(test)
+    good = [r.p for r in test if r.quality == 1]
+    assert right > 0.95 and sum(p >= 0.5 for p in good) / len(good) > 0.97
