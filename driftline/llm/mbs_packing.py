@@ -33,6 +33,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,8 @@ class Encoder:
         new = list(words)
         ids = np.array(self.fast.encode_ordinary(" " + " ".join(new)), "<u4")
         cuts = 4 * np.append(np.flatnonzero(self.opens_word[ids]), len(ids))
-        raw, cuts = ids.tobytes(), cuts.tolist()
-        self.words.update((w, raw[a:b]) for w, a, b in zip(new, cuts, cuts[1:], strict=True))
+        raw = ids.tobytes()
+        self.words.update((w, raw[a:b]) for w, (a, b) in zip(new, pairwise(cuts.tolist()), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
