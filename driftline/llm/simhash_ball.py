@@ -45,6 +45,7 @@ from driftline.session import scratch_path
 PASSES = 8                 # slices of the variant space, worked off one after the other
 MIN_BUCKETS = 1024         # buckets of a slice, at least
 BUCKET_VARIANTS = 500_000  # variants of a bucket, about, beyond that
+EMITTED_AT_ONCE = 8192     # fingerprints of a task that deals variants out, about
 BLOCK = 1 << 16            # shingles hashed at once
 
 
@@ -110,18 +111,24 @@ class Variants:
 
     def deal(self, x: np.ndarray, turn: int) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, fingerprints with a variant there) for one slice."""
-        cx, low, keys = self.code(x), self.passes - 1, []
+        cx, low, keys, rows = self.code(x), self.passes - 1, [], []
+        kind = np.uint16 if self.buckets <= 1 << 16 else np.int64  # 16 bits sort by radix
         for c in range(self.passes):
             at = np.flatnonzero(cx & low == c ^ turn)
             m = self.codes[self.codes & low == c]
-            bucket = (cx[at, None] ^ m[None, :]) // self.passes
-            keys.append(np.unique((bucket * len(x) + at[:, None]).ravel()))
-        keys = np.sort(np.concatenate(keys))
-        bucket, at = np.divmod(keys, max(len(x), 1))
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for part in np.split(np.arange(len(keys)), cuts):
-            if len(part):
-                yield int(bucket[part[0]]), x[at[part]]
+            keys.append(((cx[at, None] ^ m[None, :]) // self.passes).astype(kind).ravel())
+            rows.append(np.repeat(at, len(m)))
+        bucket, at = np.concatenate(keys), np.concatenate(rows)
+        order = np.argsort(bucket, kind="stable")
+        bucket, at = bucket[order], at[order]
+        # one row's variants in a bucket are neighbours: name the row once
+        cut = np.concatenate(([True], bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, bool)
+        new = cut.copy()
+        new[1:] |= at[1:] != at[:-1]
+        bucket, at = bucket[new], at[new]
+        starts = np.flatnonzero(cut[new])
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=False):
+            yield int(bucket[lo]), x[at[lo:hi]]
 
     def links(self, x: np.ndarray, bucket: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
         """Verified stars of the fingerprints that meet at a variant of the bucket."""
@@ -151,6 +158,8 @@ def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     while buckets * BUCKET_VARIANTS < n * 2081 // PASSES:
         buckets *= 2
     ball = Variants(radius, buckets)
+    tasks = max(n // EMITTED_AT_ONCE + 1, spark.sparkContext.defaultParallelism)
+    spread = distinct.select("fp").repartition(tasks)
     path = scratch_path(spark, "links")
 
     def emit(turn: int):
@@ -183,8 +192,8 @@ def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
     with freed_shuffles(spark):
         for turn in range(PASSES):
-            dealt = distinct.select("fp").mapInArrow(emit(turn), "bucket long, blob binary")
-            met = dealt.repartition("bucket").sortWithinPartitions("bucket")
+            dealt = spread.mapInArrow(emit(turn), "bucket long, blob binary")
+            met = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket")
             met.mapInArrow(meet(turn), "a long, b long").write.mode("append").parquet(path)
     return spark.read.schema("a long, b long").parquet(path).distinct()
 
