@@ -42,11 +42,3 @@ TOW_METADATA = (
     "day", "year", "doy", "time", "depth", "season", "sfc_temp", "sfc_salt",
     "btm_temp", "btm_salt",
 )
-
-# --- fixed values: column moves applied to the final running-mean table ------
-# (column, anchor): place column right after anchor
-FINAL_LAYOUT = (
-    ("region_name", "region"),
-    ("year", "day"),
-    ("season", "depth"),
-)

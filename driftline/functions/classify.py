@@ -19,24 +19,12 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _lit(v) -> str:
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
-
-
 def season(month: str | Column = "month", bands=SEASON_BANDS,
            otherwise: str = SEASON_OTHERWISE) -> Column:
     """Month -> season name; months outside every band (and NULL) get ``otherwise``."""
-    if isinstance(month, str):
-        arms = " ".join(f"WHEN {_q(month)} BETWEEN {lo} AND {hi} THEN {_lit(name)}"
-                        for name, lo, hi in bands)
-        return F.expr(f"CASE {arms} ELSE {_lit(otherwise)} END")
-    expr = None
+    x, expr = _col(month), None
     for name, lo, hi in bands:
-        cond = month.between(lo, hi)
+        cond = x.between(lo, hi)
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
     return expr.otherwise(otherwise)
 
@@ -45,13 +33,9 @@ def region_name(region: str | Column = "region",
                 mapping: Mapping[int, str] = REGIONS_MERGED,
                 otherwise: str = REGION_OTHERWISE) -> Column:
     """Region code -> name; unknown and NULL codes get ``otherwise``."""
-    if isinstance(region, str):
-        arms = " ".join(f"WHEN {_q(region)} = {int(code)} THEN {_lit(name)}"
-                        for code, name in mapping.items())
-        return F.expr(f"CASE {arms} ELSE {_lit(otherwise)} END")
-    expr = None
+    x, expr = _col(region), None
     for code, name in mapping.items():
-        expr = F.when(region == code, name) if expr is None else expr.when(region == code, name)
+        expr = F.when(x == code, name) if expr is None else expr.when(x == code, name)
     return expr.otherwise(otherwise)
 
 

@@ -1,4 +1,4 @@
-"""Column-set operators: positional select, name ranges, relocate, set difference."""
+"""Column-set operators: positional select and name ranges."""
 
 from __future__ import annotations
 
@@ -33,38 +33,3 @@ def column_range(df: DataFrame, first: str, last: str) -> list[str]:
         i, j = j, i
         return list(reversed(cols[i:j + 1]))
     return cols[i:j + 1]
-
-
-def relocated(columns: Sequence[str], column: str, after: str) -> list[str]:
-    """Column list with ``column`` moved right after ``after``."""
-    rest = [c for c in columns if c != column]
-    k = rest.index(after) + 1
-    return [*rest[:k], column, *rest[k:]]
-
-
-def relocate(df: DataFrame, column: str, after: str) -> DataFrame:
-    """Move ``column`` to sit right after ``after``."""
-    return df.select(*relocated(df.columns, column, after))
-
-
-def layout(columns: Sequence[str], last: Sequence[str] = (),
-           moves: Sequence[tuple[str, str]] = ()) -> list[str]:
-    """Column order: names not in ``last`` first, then ``last`` (both in frame
-    order), then (column, anchor) moves in turn; moves naming absent columns
-    are skipped."""
-    tail = set(last)
-    cols = [c for c in columns if c not in tail] + [c for c in columns if c in tail]
-    for column, after in moves:
-        if column in cols and after in cols:
-            cols = relocated(cols, column, after)
-    return cols
-
-
-def relocate_all(df: DataFrame, moves: Sequence[tuple[str, str]]) -> DataFrame:
-    """Apply (column, anchor) moves in order; moves whose names are absent are skipped."""
-    return df.select(*layout(df.columns, moves=moves))
-
-
-def others_first(df: DataFrame, last: Sequence[str]) -> DataFrame:
-    """Columns not in ``last`` first (frame order), then the rest (frame order)."""
-    return df.select(*layout(df.columns, last))

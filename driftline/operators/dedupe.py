@@ -47,44 +47,26 @@ def preference_flag(col: str | Column, preferred) -> Column:
     return F.when(x == preferred, 0).when(x.isNotNull(), 1).otherwise(2)
 
 
-def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+             carry: Sequence[str] | None = None) -> DataFrame:
     """One row per ``keys`` (NULL is a key value), the one smallest by ``order``.
 
     ``order`` must be a total order within each key for a deterministic pick.
-    Column order of ``df`` is kept.
+    Only the ``carry`` columns (default: all) travel with a row; column order
+    is that of ``carry``, after keys it does not name.
     """
     keys = list(keys)
-    cols = df.columns
+    cols = df.columns if carry is None else [k for k in keys if k not in carry] + list(carry)
     payload = [c for c in cols if c not in keys]
     if not payload:
-        return df.dropDuplicates(keys)
+        return df.select(*cols).dropDuplicates(keys)
     row = F.expr("struct(" + ", ".join(_quoted(c) for c in payload) + ")")
     picked = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_first"))
     return picked.selectExpr(*[_quoted(c) if c in keys else f"_first.{_quoted(c)} AS {_quoted(c)}"
                                for c in cols])
 
 
-def first_by_leading(df: DataFrame, keys: Sequence[str], lead: str,
-                     order: Sequence[Column]) -> DataFrame:
-    """:func:`first_by` for an order that starts with column ``lead`` ascending,
-    missing last, when the number of key groups is proven small.
-
-    The first row of a group has the group's smallest ``lead``: a hash
-    aggregate of that minimum (no sort), a broadcast semi-join on it, and
-    ``min_by`` over the few remaining candidates give the same row without
-    sorting every row. A group whose ``lead`` is missing throughout keeps all
-    its rows as candidates.
-    """
-    keys = list(keys)
-    tmp = {k: f"__first_key_{i}" for i, k in enumerate(keys)}
-    lowest = df.groupBy(*keys).agg(F.min(lead).alias("_lead"))
-    lowest = F.broadcast(lowest.select(*[F.col(k).alias(tmp[k]) for k in keys], "_lead"))
-    hit = [df[k].eqNullSafe(lowest[tmp[k]]) for k in keys]
-    hit.append(df[lead].eqNullSafe(lowest["_lead"]))
-    return first_by(df.join(lowest, on=hit, how="left_semi"), keys, order)
-
-
 def prefer_then_first(df: DataFrame, keys: Sequence[str], prefer_col: str, preferred,
-                      order: Sequence[Column]) -> DataFrame:
+                      order: Sequence[Column], carry: Sequence[str] | None = None) -> DataFrame:
     """Keep one row per key: the preferred-gear row if any, else the first by ``order``."""
-    return first_by(df, keys, [preference_flag(prefer_col, preferred), *order])
+    return first_by(df, keys, [preference_flag(prefer_col, preferred), *order], carry)

@@ -8,19 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-           broadcast: bool = False) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``right``'s non-key columns onto ``left`` by ``keys``.
 
     Keys compare null-safe (a missing key matches a missing key, as dplyr's
-    joins do). ``broadcast`` must only be set for a right side whose size is
-    bounded or checked (see ``driftline.plans.materialize``).
+    joins do). The planner picks the join by the right side's size; a side that
+    is bounded by construction comes hinted (``materialize.broadcast_bounded``).
     """
     keys = list(keys)
     tmp = {k: f"__key_{i}" for i, k in enumerate(keys)}
     r = right.select(*[F.col(k).alias(tmp[k]) for k in keys],
                      *[c for c in right.columns if c not in keys])
-    if broadcast:
-        r = F.broadcast(r)
     cond = [left[k].eqNullSafe(r[tmp[k]]) for k in keys]
     return left.join(r, on=cond, how=how).drop(*tmp.values())

@@ -6,11 +6,19 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+
+def is_missing(df: DataFrame, col: str) -> Column:
+    """NULL, or NaN in a floating-point column."""
+    x = F.col(col)
+    floating = isinstance(df.schema[col].dataType, (DoubleType, FloatType))
+    return x.isNull() | F.isnan(x) if floating else x.isNull()
 
 
 def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row: number of missing values per column, named after the column."""
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    return df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in cols])
 
 
 def is_blank(col: str | Column) -> Column:

@@ -12,7 +12,8 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str],
             names_to: str = "taxa", values_to: str = "ind") -> DataFrame:
     """``pivot_longer``: one row per (input row, value column); missing values kept.
 
-    A narrow map-side ``Expand``: no shuffle, output = rows x len(values).
+    A narrow map-side ``Expand``: no shuffle, output = rows x len(values). Name
+    only the columns that are wanted: no filter on the names is pushed below it.
     """
     return df.unpivot(list(ids), list(values), names_to, values_to)
 

@@ -35,17 +35,6 @@ def plain_min(value: str) -> Column:
     return F.min(nan_to_null(value))
 
 
-def min_positive(df: DataFrame, keys: Sequence[str], value: str, name: str = "min_nonzero",
-                 empty: str = "inf") -> DataFrame:
-    """Per group, the smallest value above zero (see :func:`positive_min`)."""
-    return df.groupBy(*keys).agg(positive_min(value, empty).alias(name))
-
-
-def group_min(df: DataFrame, keys: Sequence[str], value: str, name: str = "min_nonzero") -> DataFrame:
-    """Per group, the smallest value."""
-    return df.groupBy(*keys).agg(plain_min(value).alias(name))
-
-
 def group_row_sum(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str) -> DataFrame:
     """Per group, the sum over all rows and all ``cols`` (missing skipped, empty = 0)."""
     return df.groupBy(*keys).agg(F.sum(row_sum(cols)).alias(name))
@@ -75,15 +64,6 @@ def weighted_annual_mean(df: DataFrame, keys: Sequence[str], value: str, name: s
         F.sum(w).alias(weight))
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _present(name: str) -> str:
-    """SQL for the value with NaN read as missing."""
-    return f"CASE WHEN isnan({_q(name)}) THEN NULL ELSE {_q(name)} END"
-
-
 def running_mean(df: DataFrame, part: Sequence[str], order: str, value: str, name: str,
                  k: int = 5, complete: bool = False) -> DataFrame:
     """Trailing mean over the current row and the ``k - 1`` rows before it.
@@ -92,39 +72,29 @@ def running_mean(df: DataFrame, part: Sequence[str], order: str, value: str, nam
     ``complete=False``: partial windows at the start, missing values skipped.
     ``complete=True``: NULL unless the frame holds ``k`` rows, all present.
     """
-    w = (f"PARTITION BY {', '.join(map(_q, part))} ORDER BY {_q(order)} ASC NULLS LAST "
-         f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW")
-    x = _present(value)
-    mean = f"avg({x}) OVER ({w})"
+    w = Window.partitionBy(*part).orderBy(F.col(order).asc_nulls_last()).rowsBetween(1 - k, 0)
+    x = nan_to_null(value)
+    mean = F.avg(x).over(w)
     if complete:
-        mean = f"CASE WHEN count(1) OVER ({w}) = {k} AND count({x}) OVER ({w}) = {k} THEN {mean} END"
-    return df.withColumn(name, F.expr(mean))
+        mean = F.when((F.count(F.lit(1)).over(w) == k) & (F.count(x).over(w) == k), mean)
+    return df.withColumn(name, mean)
 
 
-def weighted_sd(annual: DataFrame, part: Sequence[str], value: str, weight: str,
-                name: str) -> DataFrame:
+def with_weighted_sd(annual: DataFrame, part: Sequence[str], value: str, weight: str,
+                     name: str) -> DataFrame:
     """Sample SD (n - 1) of a per-year value repeated on ``weight`` rows per year.
 
     Equals ``stddev_samp`` over the row-level table that carries the yearly
     value on each row, computed from the small annual table alone (centred
-    two-pass form). Years with a missing value drop out; one row gives NULL.
-    One row per group.
+    two-pass form) and written onto its rows. Years with a missing value drop
+    out; one row gives NULL.
     """
-    out = with_weighted_sd(annual, part, value, weight, name)
-    return out.groupBy(*part).agg(F.first(name, ignorenulls=True).alias(name))
-
-
-def with_weighted_sd(annual: DataFrame, part: Sequence[str], value: str, weight: str,
-                     name: str) -> DataFrame:
-    """:func:`weighted_sd` written onto every annual row (windows over ``part``)."""
-    x = _present(value)
-    k = f"CASE WHEN {x} IS NOT NULL THEN {_q(weight)} END"
-    w = f"PARTITION BY {', '.join(map(_q, part))}"
-    n = f"sum({k}) OVER ({w})"
-    tmp = annual.withColumns({"_n": F.expr(n),
-                              "_m": F.expr(f"try_divide(sum({k} * {x}) OVER ({w}), {n})")})
-    ss = f"sum({k} * pow({x} - _m, 2)) OVER ({w})"
-    sd = F.expr(f"CASE WHEN _n > 1 THEN sqrt(try_divide({ss}, _n - 1)) END")
+    w, x = Window.partitionBy(*part), nan_to_null(value)
+    k = F.when(x.isNotNull(), F.col(weight))
+    n = F.sum(k).over(w)
+    tmp = annual.withColumns({"_n": n, "_m": F.try_divide(F.sum(k * x).over(w), n)})
+    squares = F.sum(k * F.pow(x - F.col("_m"), F.lit(2.0))).over(w)
+    sd = F.when(F.col("_n") > 1, F.sqrt(F.try_divide(squares, F.col("_n") - 1)))
     return tmp.withColumn(name, sd).drop("_n", "_m")
 
 

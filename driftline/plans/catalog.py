@@ -7,6 +7,7 @@ whole ``tow`` view (or another driver table); nothing is sampled or capped.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ from driftline import constants as C
 from driftline.functions.classify import factor_rank, region_name, season, split_pair
 from driftline.functions.numeric import fourth_root, row_sum
 from driftline.operators.columns import column_range, select_positions
-from driftline.operators.dedupe import asc_nulls_last, first_by
+from driftline.operators.dedupe import asc_nulls_last
 from driftline.operators.joins import attach
-from driftline.operators.quality import blank_counts, is_blank, null_profile, repeated_keys
+from driftline.operators.quality import blank_counts, is_blank, is_missing, null_profile, repeated_keys
 from driftline.operators.reshape import to_long
 from driftline.operators.series import descending_report, group_row_sum
+from driftline.plans.materialize import reuse
 from driftline.plans.survey import (
     SeriesSpec,
     analyse,
@@ -43,21 +45,19 @@ from driftline.sources.fixture import (
     RECENT_START,
     tow_view,
 )
-from driftline.sources.tables import read_table
+from driftline.sources.tables import read_indicator, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# fixed values: tow columns of the fixture view, in output order
 ORDER_COLS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
               "l_extendedprice")
 META = ("cruise_name", "station", "zoo_gear", "ich_gear", "region", "region_name", "date",
         "month", "year", "season", "sfc_temp")
-# the fixture has no day/depth columns: year follows month, season follows year
-LAYOUT = (("region_name", "region"), ("year", "month"), ("season", "year"))
 
 FISH = maintained_fish(keep=META + FIXTURE_TAXA + ORDER_COLS, parts=FIXTURE_TAXA,
-                       preferred=FIXTURE_PREFERRED_GEAR, order=FIXTURE_ORDER, layout=LAYOUT)
-ZOO = maintained_volume(keep=META + (C.VOLUME,) + ORDER_COLS, order=FIXTURE_ORDER,
-                        layout=LAYOUT)
+                       preferred=FIXTURE_PREFERRED_GEAR, order=FIXTURE_ORDER)
+ZOO = maintained_volume(keep=META + (C.VOLUME,) + ORDER_COLS, order=FIXTURE_ORDER)
 # draft projections by position: metadata 1-9, taxa 10-13 | volume 14, order 15-20
 DRAFT_FISH = draft_fish(positions=(range(1, 14), range(15, 21)), parts=FIXTURE_TAXA,
                         order=FIXTURE_ORDER)
@@ -72,9 +72,10 @@ def _series(spark: SparkSession, root: str, spec: SeriesSpec):
     return analyse(tow_view(spark, root), spec)
 
 
-def _long(spark: SparkSession, root: str) -> DataFrame:
+def _long(spark: SparkSession, root: str, *taxa: str) -> DataFrame:
+    """Long table of the named taxa (default: the whole column range)."""
     tow = tow_view(spark, root)
-    return to_long(tow, TAXA_IDS, column_range(tow, "f1_10m2", "f4_10m2"))
+    return to_long(tow, TAXA_IDS, taxa or column_range(tow, "f1_10m2", "f4_10m2"))
 
 
 # -- whole analyses -----------------------------------------------------------
@@ -111,6 +112,22 @@ def q_zoo_draft(spark, root):
     return _series(spark, root, DRAFT_ZOO).summary()
 
 
+def q_fish_draft_early(spark, root):
+    return _series(spark, root, DRAFT_FISH).period(*EARLY).summary()
+
+
+def q_fish_draft_recent(spark, root):
+    return _series(spark, root, DRAFT_FISH).period(RECENT_START).summary()
+
+
+def q_zoo_draft_early(spark, root):
+    return _series(spark, root, DRAFT_ZOO).period(*EARLY).summary()
+
+
+def q_zoo_draft_recent(spark, root):
+    return _series(spark, root, DRAFT_ZOO).period(RECENT_START).summary()
+
+
 # -- series operators ---------------------------------------------------------
 
 def q_sd_report(spark, root):
@@ -133,6 +150,16 @@ def q_sd_annual(spark, root):
     return year_weighted_by_code(_series(spark, root, DRAFT_FISH).period(RECENT_START))
 
 
+def q_sd_smoothed(spark, root):
+    """SD of the running mean (smoothing before the SD)."""
+    return _series(spark, root, replace(ZOO, sd_source="running_mean")).report()
+
+
+def q_sd_by_year(spark, root):
+    """SD by named region with each year counted once."""
+    return _series(spark, root, replace(ZOO, sd_weight="year")).report()
+
+
 def q_run_mean(spark, root):
     n = ZOO.names
     return _series(spark, root, ZOO).series.select(n.region, "year", "season", n.mean, n.run)
@@ -176,14 +203,21 @@ def q_period_recent(spark, root):
 
 
 def q_distinct_first(spark, root):
-    s = _series(spark, root, ZOO)
-    return first_by(s.logged, s.keys, ZOO.row_order)
+    return _series(spark, root, ZOO).first_rows()
 
 
 def q_plot_layers(spark, root):
     return _series(spark, root, ZOO).layers()
 
 
+def q_fish_layers(spark, root):
+    return _series(spark, root, FISH).layers()
+
+
+def q_draft_layers(spark, root):
+    return _series(spark, root, DRAFT_FISH).layers()
+
+
 # -- row operators ------------------------------------------------------------
 
 def q_dedupe_preferred(spark, root):
@@ -196,9 +230,10 @@ def q_multi_column_sum(spark, root):
 
 
 def q_group_sum(spark, root):
-    tow = tow_view(spark, root)
-    totals = group_row_sum(tow, C.DRAFT_SAMPLE_KEY, FIXTURE_TAXA, "fishsum")
-    return attach(tow.select(*C.DRAFT_SAMPLE_KEY, *FIXTURE_ORDER), totals, C.DRAFT_SAMPLE_KEY)
+    # one pass over the tows, stored narrow; the totals are joined to its rows
+    rows = reuse(tow_view(spark, root).select(*C.DRAFT_SAMPLE_KEY, *FIXTURE_ORDER, row_sum(FIXTURE_TAXA).alias("part")))
+    totals = group_row_sum(rows, C.DRAFT_SAMPLE_KEY, ["part"], "fishsum")
+    return attach(rows.drop("part"), totals, C.DRAFT_SAMPLE_KEY)
 
 
 def q_filter_region(spark, root):
@@ -235,16 +270,20 @@ def q_project_position(spark, root):
 
 
 def q_fourth_root(spark, root):
-    return (_long(spark, root).filter(F.col("taxa") == "f1_10m2")
-            .select("taxa", "year", "ind", fourth_root("ind").alias("r4r")))
+    return _long(spark, root, "f1_10m2").select("taxa", "year", "ind", fourth_root("ind").alias("r4r"))
 
 
 def q_taxon_series(spark, root):
-    return _long(spark, root).filter(F.col("taxa") == "f2_10m2").select("taxa", "year", "ind")
+    return _long(spark, root, "f2_10m2").select("taxa", "year", "ind")
+
+
+def q_taxa_all(spark, root):
+    return _long(spark, root).select("taxa", "year", "ind", fourth_root("ind").alias("r4r"))
 
 
 def q_isin(spark, root):
-    return _long(spark, root).filter(F.col("taxa").isin("f3_10m2", "f4_10m2"))
+    wanted = {"f3_10m2", "f4_10m2"}
+    return _long(spark, root, *[t for t in FIXTURE_TAXA if t in wanted])
 
 
 def q_unpivot(spark, root):
@@ -260,7 +299,7 @@ def q_null_profile(spark, root):
 
 def q_blank_counts(spark, root):
     tow = classify(tow_view(spark, root), ZOO)
-    return blank_counts(tow, {"n_missing_volume": F.col(C.VOLUME).isNull(),
+    return blank_counts(tow, {"n_missing_volume": is_missing(tow, C.VOLUME),
                               "n_blank_zoo_gear": is_blank("zoo_gear"),
                               "n_blank_ich_gear": is_blank("ich_gear")})
 
@@ -280,6 +319,17 @@ def _indicator(spark, root) -> DataFrame:
                     F.col("o_totalprice").alias("Value"))
 
 
+def q_indicator_stages(spark, root):
+    """Filter by EPU, split the label, keep the stages, rank the season: one plan."""
+    var, label = split_pair("Var", "-")
+    return (read_indicator(spark, root, "orders", epu="o_orderstatus", var="o_orderpriority",
+                           time="CAST(year(o_orderdate) AS INT)", value="o_totalprice")
+            .filter(F.col("EPU") == "O")
+            .select("o_orderkey", "EPU", var.alias("stage"), label.alias("season"), "Time", "Value")
+            .filter(F.col("stage").isin(*STAGES))
+            .withColumn("season_rank", factor_rank("season", LABEL_LEVELS).cast("double")))
+
+
 def q_separate_filter(spark, root):
     return _indicator(spark, root).filter(F.col("EPU") == "O").filter(F.col("Var").isin(*STAGES))
 
@@ -309,6 +359,19 @@ def q_csv_roundtrip(spark, root):
     return back.withColumn("row_id", F.col("row_id").cast("bigint"))
 
 
+CSV_TOW = ("row_id BIGINT, cruise_name STRING, station BIGINT, zoo_gear STRING, ich_gear STRING, region INT, "
+           "date STRING, month INT, year INT, sfc_temp DOUBLE, f1_10m2 DOUBLE, f2_10m2 DOUBLE, f3_10m2 DOUBLE, "
+           "f4_10m2 DOUBLE, volume_1m2 DOUBLE, l_orderkey BIGINT, l_linenumber INT")
+
+
+def q_csv_survey(spark, root):
+    """Every tow through the CSV sink and back: blanks, missing doubles, row numbers."""
+    path = scratch_path(spark, "tow-csv")
+    tow = tow_view(spark, root).drop("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    write_csv(tow, path, order=asc_nulls_last(["l_orderkey", "l_linenumber", "volume_1m2", "sfc_temp"]))
+    return read_csv(spark, path, CSV_TOW).drop("row_id")
+
+
 QUERIES: dict[str, Query] = {
     name: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +11,16 @@ from driftline.session import ensure_checkpoint_dir, scratch_path
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def reuse(df: DataFrame, how: str = "table") -> DataFrame:
+def reuse(df: DataFrame) -> DataFrame:
     """Keep a table that several passes read.
 
-    ``how='table'`` (default) writes it as parquet under the shared checkpoint
-    folder and reads it back: a lost executor re-reads files, later plans
-    start from a plain scan, and each pass reads only its own columns (with
-    filters pushed into the scan). ``how='persist'`` keeps it in executor
-    memory, spilling to disk; lost partitions are recomputed from lineage.
+    Written as parquet under the shared checkpoint folder and read back: a
+    lost executor re-reads files, later plans start from a plain scan, and
+    each pass reads only its own columns (with filters pushed into the scan).
     """
-    if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if how != "table":
-        raise ValueError(f"unknown reuse mode {how!r}")
-    spark = df.sparkSession
-    path = scratch_path(spark, "table")
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -154,6 +154,21 @@ DRAFT_SUMMARY = [
 DRAFT_SUMMARY_SELECT = "SELECT drun.*, dsd.SD_ts FROM drun LEFT JOIN dsd USING (region_name, season)"
 
 
+def _draft(ctes: list[str], where: str) -> list[str]:
+    """Draft ctes of a period: the minimum still comes from the whole record."""
+    return [*ctes[:-1], ctes[-1].removesuffix(")") + f" WHERE {where})"]
+
+
+DRAFT_EARLY = "year BETWEEN 1995 AND 1997"
+DRAFT_RECENT = "year BETWEEN 1999 AND (SELECT max(year) FROM d4)"
+
+
+def _layers(log: str, rows: str, annual: str, mean: str, run: str, running: str) -> str:
+    return (f"SELECT 'tow' AS layer, region_name, season, year, {log} AS value FROM {rows} "
+            f"UNION ALL SELECT 'annual', region_name, season, year, {mean} FROM {annual} "
+            f"UNION ALL SELECT 'running_mean', region_name, season, year, {run} FROM {running}")
+
+
 def _long(taxa: tuple[str, ...], cols: str) -> str:
     return " UNION ALL ".join(f"SELECT {cols.format(t=t)} FROM tow" for t in taxa)
 
@@ -177,7 +192,14 @@ RAW: dict[str, str] = {
                                         "WHERE year BETWEEN 1999 AND (SELECT max(year) FROM zpl)")) + FINAL_SELECT,
     "q_fish_draft": _with(*DRAFT_FISH, *DRAFT_SUMMARY) + DRAFT_SUMMARY_SELECT,
     "q_zoo_draft": _with(*DRAFT_ZOO, *DRAFT_SUMMARY) + DRAFT_SUMMARY_SELECT,
+    "q_fish_draft_early": _with(*_draft(DRAFT_FISH, DRAFT_EARLY), *DRAFT_SUMMARY) + DRAFT_SUMMARY_SELECT,
+    "q_fish_draft_recent": _with(*_draft(DRAFT_FISH, DRAFT_RECENT), *DRAFT_SUMMARY) + DRAFT_SUMMARY_SELECT,
+    "q_zoo_draft_early": _with(*_draft(DRAFT_ZOO, DRAFT_EARLY), *DRAFT_SUMMARY) + DRAFT_SUMMARY_SELECT,
+    "q_zoo_draft_recent": _with(*_draft(DRAFT_ZOO, DRAFT_RECENT), *DRAFT_SUMMARY) + DRAFT_SUMMARY_SELECT,
     # series operators
+    "q_sd_smoothed": _with(*ZOO, *ZOO_RUN) + "SELECT region_name, season, stddev_samp(runMean_ZP) AS sd_ZP FROM zpl "
+                     "JOIN run USING (region_name, season, year) GROUP BY region_name, season",
+    "q_sd_by_year": _with(*ZOO, *ZOO_RUN) + "SELECT region_name, season, stddev_samp(log_mean_ZP) AS sd_ZP FROM ann GROUP BY region_name, season",
     "q_sd_report": _with(*ZOO) + "SELECT region_name, season, stddev_samp(log_mean_ZP) AS sd_ZP FROM zpa GROUP BY region_name, season",
     "q_fish_sd_report": _with(*FISH) + "SELECT region_name, season, stddev_samp(log_mean_FF) AS sd_FF FROM ffa GROUP BY region_name, season",
     "q_run_mean_final": _with(*ZOO, *ZOO_RUN) + FINAL_SELECT,
@@ -204,9 +226,10 @@ RAW: dict[str, str] = {
     "q_period_recent": _with(*ZOO) + "SELECT * FROM zpl WHERE year BETWEEN 1999 AND (SELECT max(year) FROM zpl)",
     "q_distinct_first": _with(*ZOO) + f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY region_name, season, year ORDER BY {FILE_ORDER}) AS rn FROM zpl) WHERE rn = 1",
     "q_plot_layers": _with(*ZOO, *ZOO_RUN)
-                     + "SELECT 'tow' AS layer, region_name, season, year, log10_ZP AS value FROM zpl "
-                       "UNION ALL SELECT 'annual', region_name, season, year, log_mean_ZP FROM ann "
-                       "UNION ALL SELECT 'running_mean', region_name, season, year, runMean_ZP FROM run",
+                     + _layers("log10_ZP", "zpl", "ann", "log_mean_ZP", "runMean_ZP", "run"),
+    "q_fish_layers": _with(*FISH, *_final("ff", "FF", FISH_REP))
+                     + _layers("log10_FF", "ffl", "ann", "log_mean_FF", "runMean_FF", "run"),
+    "q_draft_layers": _with(*DRAFT_FISH, *DRAFT_SUMMARY) + _layers("LogofSum", "d5", "dann", "aver", "runMean", "drun"),
     # row operators
     "q_dedupe_preferred": _with(*FISH) + "SELECT * FROM ff0",
     "q_multi_column_sum": _with("x AS (SELECT 1)") + f"SELECT {FILE_ORDER}, {', '.join(TAXA)}, {ROW_SUM} AS fishsum FROM tow",
@@ -220,6 +243,7 @@ RAW: dict[str, str] = {
     "q_project_position": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem",
     "q_fourth_root": _with("x AS (SELECT 1)") + "SELECT 'f1_10m2' AS taxa, year, f1_10m2 AS ind, pow(f1_10m2, 0.25) AS r4r FROM tow",
     "q_taxon_series": _with("x AS (SELECT 1)") + "SELECT 'f2_10m2' AS taxa, year, f2_10m2 AS ind FROM tow",
+    "q_taxa_all": _with("x AS (SELECT 1)") + _long(TAXA, "'{t}' AS taxa, year, {t} AS ind, pow({t}, 0.25) AS r4r"),
     "q_isin": _with("x AS (SELECT 1)") + _long(("f3_10m2", "f4_10m2"), LONG_COLS),
     "q_unpivot": _with("x AS (SELECT 1)") + _long(TAXA, LONG_COLS),
     # quality summaries
@@ -231,7 +255,9 @@ RAW: dict[str, str] = {
     # indicator table
     "q_separate_filter": "WITH " + INDICATOR + " SELECT * FROM ind WHERE EPU = 'O' AND Var IN ('1', '2', '3')",
     "q_factor_order": "WITH " + INDICATOR + " SELECT o_orderkey, Var, season, CAST(CASE season WHEN 'URGENT' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 END AS DOUBLE) AS season_rank FROM ind",
+    "q_indicator_stages": "WITH " + INDICATOR + " SELECT o_orderkey, EPU, Var AS stage, season, Time, Value, CAST(CASE season WHEN 'URGENT' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 END AS DOUBLE) AS season_rank FROM ind WHERE EPU = 'O' AND Var IN ('1', '2', '3')",
     # CSV round trip
+    "q_csv_survey": _with("x AS (SELECT 1)") + "SELECT * EXCLUDE (l_partkey, l_suppkey, l_shipdate, l_extendedprice) FROM tow",
     "q_csv_roundtrip": "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS row_id, n_nationkey, n_name, n_regionkey FROM nation",
 }
 

@@ -2,39 +2,39 @@
 means -> standard deviation, for one trophic value (summed forage fish or
 zooplankton volume).
 
-Physical shape (same at any scale):
-
-* the tow table is scanned with only the needed columns; filters reach the scan;
-* the fish variant dedupes samples with one aggregate (its only wide shuffle);
-  the group-sum variant aggregates rows to weighted (sample, month, year)
-  entries; the prepared table is written once to the shared checkpoint
-  folder, since several passes read it;
-* the per-(region, season) minimum and year span are one partial aggregate of
-  at most regions x seasons rows; the minimum goes back as a literal lookup
-  expression (no join), the year span bounds the annual table's size;
-* the annual table (one row per region, season, year) is a partial aggregate,
-  moved to one partition and broadcast when its proven bound is small;
-* running means and SDs are windows and aggregates over the annual table only;
-* tow-level outputs attach the small tables with broadcast hash joins (map-side).
+Physical shape (one plan at every scale):
+
+* a narrow pass over the tows (region, season, year, value; the fish variant
+  dedupes samples in it, the group-sum variant aggregates rows to weighted
+  sample entries) is stored once in the shared checkpoint folder, since several
+  steps read it; ``Series.close()`` deletes it;
+* the per-(region, season) minimum is a partial aggregate of at most regions x
+  seasons rows (a bound by construction) and comes back as a broadcast join;
+* the annual table is a partial aggregate; running means and SDs are windows
+  and aggregates over it alone;
+* tow-level outputs read the tows once more with all their columns; the annual
+  statistics are a stored table by then, so the planner knows its real size
+  when it picks the join (a broadcast, whatever years the data spans);
+* the first row of each year is found over keys and order columns only, and
+  fetched by a join with those few keys.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from driftline import constants as C
 from driftline.functions.classify import region_name, region_names, season
-from driftline.functions.numeric import half_min_log, row_sum
-from driftline.operators.columns import layout, select_positions
-from driftline.operators.dedupe import (asc_nulls_last, first_by, first_by_leading,
-                                        prefer_then_first)
+from driftline.functions.numeric import half_min_log, nan_to_null, row_sum
+from driftline.operators.columns import select_positions
+from driftline.operators.dedupe import asc_nulls_last, prefer_then_first
 from driftline.operators.joins import attach
+from driftline.operators.reshape import layer_table
 from driftline.operators.series import (
     annual_mean,
     group_row_sum,
@@ -46,18 +46,18 @@ from driftline.operators.series import (
     with_year_sd,
     year_sd,
 )
-from driftline.operators.reshape import layer_table
-from driftline.plans.materialize import MAX_BROADCAST_ROWS, reuse
+from driftline.plans.materialize import broadcast_bounded
+from driftline.session import delete_scratch, scratch_path
 
 WEIGHT = "_tows"
 ROWS = "_rows"  # rows an entry stands for
-FIXED_WIDTH = (NumericType, DateType, TimestampType, TimestampNTZType)
 
 
 @dataclass(frozen=True)
 class Names:
     """Output column names of one analysis."""
 
+    # fixed values: names of the reference tables
     region: str = "region_name"
     log: str = "log10_FF"
     mean: str = "log_mean_FF"
@@ -77,6 +77,7 @@ class SeriesSpec:
     sum_keys: tuple[str, ...] = C.DRAFT_SAMPLE_KEY
     positions: tuple = ()                      # 1-based projection of the raw input (draft)
     keep: tuple[str, ...] | None = None        # projection by name after classification
+    metadata: tuple[str, ...] | None = C.TOW_METADATA  # without ``keep``: those of them the input has
     region_map: Mapping[int, str] = field(default_factory=lambda: dict(C.REGIONS_MERGED))
     drop_region: int | None = C.REGION_DROPPED_CODE
     sampled: str | None = "ich_gear"           # rows with blank text here were not sampled
@@ -91,7 +92,6 @@ class SeriesSpec:
     sd_weight: str = "tow"                     # 'tow' (row-weighted) | 'year'
     sd_source: str = "annual"                  # 'annual' | 'running_mean'
     order: tuple[str, ...] = ("_row",)         # file order (total tie-break)
-    layout: tuple[tuple[str, str], ...] = C.FINAL_LAYOUT
     names: Names = field(default_factory=Names)
 
     @property
@@ -109,52 +109,113 @@ class SeriesSpec:
         lead = list(self.dedupe_keys) if self.dedupe_keys else []
         return lead + [c for c in self.order if c not in lead]
 
-    @property
-    def row_order(self) -> list[Column]:
-        return asc_nulls_last(self.order_names)
+    def visible(self, columns: Sequence[str]) -> list[str] | None:
+        """Tow columns of the outputs, in order (``None``: all of them)."""
+        if self.keep:
+            return list(self.keep)
+        if self.metadata is None:
+            return None
+        found = [c for c in self.metadata if c in columns]
+        return found + [c for c in (self.parts or (self.value,)) if c not in found]
+
+
+class Record:
+    """The whole record of one analysis and the tables stored for it."""
+
+    def __init__(self, tows: DataFrame, spec: SeriesSpec, keep: bool = True):
+        self.tows, self.spec, self.keep = tows, spec, keep
+        self.grouped = _entries_apply(spec)
+        self._values: dict[bool, DataFrame] = {}
+        self._paths: list[str] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+        self._paths.append(path)
+        return df.sparkSession.read.parquet(path)
+
+    def narrow(self, order: bool = False) -> DataFrame:
+        """(region, season, year, value) of every tow, or of every sample entry
+        with its row count; ``order`` adds the columns that order the tows."""
+        if self.grouped and not order:
+            return sample_entries(self.tows, self.spec)
+        return prepared(self.tows, self.spec, narrow=True, order=order)
+
+    def values(self, order: bool = False) -> DataFrame:
+        """:meth:`narrow`, stored once (unless ``keep`` is off)."""
+        known = self._values.get(order)
+        if known is None and not self.grouped:
+            known = self._values.get(True)  # holds all that is needed
+        if known is None:
+            known = self.narrow(order)
+            known = self._values[order] = self.store(known, "values") if self.keep else known
+        return known
+
+    @functools.cached_property
+    def minima(self) -> DataFrame:
+        """(region, season, minimum) over the whole record."""
+        return minimum_table(self.values(), self.spec)
+
+    def logged(self, df: DataFrame) -> DataFrame:
+        """``df`` with its group's minimum and the log value."""
+        n = self.spec.names
+        small = broadcast_bounded(self.minima, self.spec.group_bound)
+        out = attach(df, small, [n.region, "season"])
+        return out.withColumn(n.log, half_min_log(self.spec.value, n.minimum, self.spec.log_base))
+
+    def close(self) -> None:
+        for path in self._paths:
+            delete_scratch(self.tows.sparkSession, path)
+        self._paths.clear()
+        self._values.clear()
 
 
 class Series:
     """Lazily built outputs of one analysis over one tow table.
 
     ``logged`` holds the tow rows with the minimum and the log value; the
-    minimum always comes from the whole series, also for a period slice.
-    ``annual_bound`` is a proven upper bound on the rows of the annual table
-    (groups x calendar years spanned, plus a missing-year row per group),
-    known before that table is computed.
+    minimum always comes from the whole record, also for a period slice. Use
+    it as a context manager, or call :meth:`close`, to delete what it stored.
     """
 
-    def __init__(self, logged: DataFrame, spec: SeriesSpec, annual_bound: int,
-                 entries: DataFrame | None = None):
-        self.logged = logged
-        self.spec = spec
-        self.annual_bound = annual_bound
-        # optional: one entry per group of identical rows, with the row count in ROWS
-        self.entries = entries
-        n = spec.names
+    def __init__(self, record: Record, cond: Column | None = None):
+        self.record, self.spec, self._cond = record, record.spec, cond
+        n = self.spec.names
         self.keys = [n.region, "season", "year"]
         self.part = [n.region, "season"]
 
+    def __enter__(self) -> "Series":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete the stored tables; outputs must have been computed by then."""
+        self.record.close()
+
+    def _sliced(self, df: DataFrame) -> DataFrame:
+        return df if self._cond is None else df.filter(self._cond)
+
     @property
-    def small(self) -> bool:
-        """Whether the annual table is proven small enough to broadcast."""
-        return self.annual_bound <= MAX_BROADCAST_ROWS
+    def entries(self) -> DataFrame | None:
+        """Weighted sample entries of the group-sum variant."""
+        return self._sliced(self.record.logged(self.record.values())) if self.record.grouped else None
+
+    @functools.cached_property
+    def logged(self) -> DataFrame:
+        """Every tow with its minimum and log value (order columns included)."""
+        return self.record.logged(self._sliced(prepared(self.record.tows, self.spec)))
 
     # -- small tables ------------------------------------------------------
     @functools.cached_property
     def _annual(self) -> DataFrame:
-        """Annual table with the tow count per year (the SD weight).
-
-        A partial aggregate over the tow rows; when proven small it is moved
-        into one partition (at most ``annual_bound`` rows cross the network),
-        so the windows and aggregates over it need no further exchange.
-        """
+        """Annual table with the tow count per year (the SD weight)."""
         n = self.spec.names
-        if self.entries is not None:
-            a = weighted_annual_mean(self.entries, self.keys, n.log, n.mean, ROWS, WEIGHT)
-        else:
-            a = annual_mean(self.logged, self.keys, n.log, n.mean, weight=WEIGHT)
-        return a.repartition(1) if self.small else a
+        values = self._sliced(self.record.logged(self.record.values()))
+        if self.record.grouped:
+            return weighted_annual_mean(values, self.keys, n.log, n.mean, ROWS, WEIGHT)
+        return annual_mean(values, self.keys, n.log, n.mean, weight=WEIGHT)
 
     @property
     def annual(self) -> DataFrame:
@@ -164,11 +225,7 @@ class Series:
 
     @functools.cached_property
     def _stats(self) -> DataFrame:
-        """Annual table with both running means and the group SD on every row.
-
-        Windows over the single-partition annual table, so every output of
-        the analysis shares one annual aggregate (and its exchange).
-        """
+        """Annual table with both running means and the group SD on every row."""
         s, n = self.spec, self.spec.names
         a = running_mean(self._annual, self.part, "year", n.mean, n.run, k=s.k)
         a = running_mean(a, self.part, "year", n.mean, n.full, k=s.k, complete=True)
@@ -177,6 +234,11 @@ class Series:
             return with_weighted_sd(a, self.part, source, WEIGHT, n.sd)
         return with_year_sd(a, self.part, source, n.sd)
 
+    @functools.cached_property
+    def _stored_stats(self) -> DataFrame:
+        """The annual statistics as a table of known size, for joins with tows."""
+        return self.record.store(self._stats, "stats")
+
     @property
     def series(self) -> DataFrame:
         """Annual table plus partial-window and complete-window running means."""
@@ -190,6 +252,11 @@ class Series:
         return self._stats.select(*self.part, n.sd).dropDuplicates(self.part)
 
     # -- outputs -----------------------------------------------------------
+    def _shown(self, df: DataFrame) -> DataFrame:
+        """Without order columns that no projection asked for."""
+        shown = self.spec.visible(self.record.tows.columns)
+        return df if shown is None else df.drop(*[c for c in self.spec.order if c not in shown])
+
     def summary(self) -> DataFrame:
         """Annual series with both running means and the group SD."""
         n = self.spec.names
@@ -202,39 +269,49 @@ class Series:
     def tows(self) -> DataFrame:
         """Every tow with min, log value, its group's annual mean and the SD."""
         n = self.spec.names
-        per_year = self._stats.select(*self.keys, n.mean, n.sd)
-        return attach(self.logged, per_year, self.keys, broadcast=self.small)
+        return attach(self._shown(self.logged), self._stored_stats.select(*self.keys, n.mean, n.sd), self.keys)
 
     def with_annual_mean(self) -> DataFrame:
         """Every tow with its group's annual mean (the grouped ``mutate``)."""
-        return attach(self.logged, self.annual, self.keys, broadcast=self.small)
+        n = self.spec.names
+        return attach(self._shown(self.logged), self._stored_stats.select(*self.keys, n.mean), self.keys)
 
-    def first_rows(self) -> DataFrame:
-        """First tow row (in table order) of every (region, season, year).
+    @functools.cached_property
+    def _first_keys(self) -> DataFrame:
+        """The order columns of the first tow of each (region, season, year).
 
-        A partial aggregate over the tow rows: at most one row per group
-        leaves each task, whatever the skew. When the table order starts with
-        a fixed-width column (a row ordinal, a numeric key) and the groups are
-        proven few, a hash minimum of that column first narrows the rows to
-        the candidates, so no task sorts all its rows.
+        A partial aggregate over keys and order columns: at most one narrow
+        row per group leaves each task. Stored, so its size is known.
         """
-        lead = self.spec.order_names[0]
-        if self.small and isinstance(self.logged.schema[lead].dataType, FIXED_WIDTH):
-            return first_by_leading(self.logged, self.keys, lead, self.spec.row_order)
-        return first_by(self.logged, self.keys, self.spec.row_order)
+        order = self.spec.order_names
+        key = F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"missing_{i}"), F.col(c).alias(f"at_{i}"))])
+        picked = self._sliced(self.record.values(order=True)).groupBy(*self.keys).agg(F.min(key).alias("first"))
+        new = [(i, c) for i, c in enumerate(order) if c not in self.keys]
+        return self.record.store(picked.select(*self.keys, *[F.col("first").getField(f"at_{i}").alias(c) for i, c in new]), "first")
+
+    def first_rows(self) -> DataFrame:
+        """First tow row (in table order) of every (region, season, year)."""
+        first = self._first_keys
+        rows = self._sliced(prepared(self.record.tows, self.spec, dedupe=False))
+        hit = attach(rows, first.withColumn("_hit", F.lit(True)), first.columns, how="inner").drop("_hit")
+        return self.record.logged(hit.dropDuplicates(self.keys))
 
     def final(self) -> DataFrame:
-        """Running-mean table joined to each year's first tow row, reference layout."""
-        s, n = self.spec, self.spec.names
-        left = self._stats.select(n.region, "year", "season", n.mean, n.run, n.sd)
-        out = attach(left, self.first_rows(), self.keys, broadcast=self.small)
-        moves = list(s.layout) + [(n.mean, n.log)]
-        return out.select(*layout(out.columns, [n.region, "year", "season", n.mean, n.run], moves))
+        """Running-mean table joined to each year's first tow row: the tow columns,
+        the value, the minimum, the log, the annual mean, the SD, the running mean."""
+        n = self.spec.names
+        rows = self._shown(self.first_rows())
+        return attach(rows, self._stored_stats.select(*self.keys, n.mean, n.sd, n.run), self.keys)
 
     def layers(self) -> DataFrame:
         """Chart data: tow log values, annual means, running means in one long table."""
         n = self.spec.names
-        return layer_table([("tow", self.logged, n.log), ("annual", self.annual, n.mean),
+        tows = self.entries
+        if tows is None:
+            tows = self._sliced(self.record.logged(self.record.values()))
+        else:  # an entry stands for several tows
+            tows = tows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(ROWS))))
+        return layer_table([("tow", tows, n.log), ("annual", self.annual, n.mean),
                             ("running_mean", self.series, n.run)],
                            [n.region, "season", "year"])
 
@@ -245,8 +322,7 @@ class Series:
         is missing; the reference would return no rows at all if one were.
         """
         cond = F.col("year") >= lo if hi is None else F.col("year").between(lo, hi)
-        entries = None if self.entries is None else self.entries.filter(cond)
-        return Series(self.logged.filter(cond), self.spec, self.annual_bound, entries)
+        return Series(self.record, cond if self._cond is None else self._cond & cond)
 
 
 # -- building the tow-level tables --------------------------------------------
@@ -260,37 +336,44 @@ def classify(tows: DataFrame, spec: SeriesSpec) -> DataFrame:
     return out.withColumn(n.region, region_name("region", spec.region_map))
 
 
-def prepared(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> DataFrame:
+def prepared(tows: DataFrame, spec: SeriesSpec, narrow: bool = False, order: bool = False,
+             dedupe: bool = True) -> DataFrame:
     """Projection, sampled filter, dedupe and the trophic value, before the offset.
 
-    With ``keep`` the result is written once as a table in the shared
-    checkpoint folder: the analysis reads it several times (group statistics,
-    annual mean, first rows, output), each pass only the columns it needs, and
-    the scan, joins and dedupe shuffle upstream run once.
+    ``narrow`` keeps (region, season, year, value) only, and the order columns
+    with ``order``; the dedupe then carries nothing else through its shuffle.
     """
+    n = spec.names
     out = select_positions(tows, spec.positions) if spec.positions else tows
     if spec.sum_mode == "group" and spec.parts:
         # draft: the sum runs over every row of the sample group, repeated on each row
         totals = group_row_sum(out, spec.sum_keys, spec.parts, spec.value)
         out = attach(out, totals, spec.sum_keys, how="inner")
     out = classify(out, spec)
-    if spec.keep:
-        out = out.select(*spec.keep)
     if spec.sampled:
         out = out.filter(F.col(spec.sampled) != "")
-    if spec.dedupe_keys:
-        out = prefer_then_first(out, spec.dedupe_keys, spec.preferred_col, spec.preferred,
-                                asc_nulls_last(spec.order))
     if spec.sum_mode == "row" and spec.parts:
         out = out.withColumn(spec.value, row_sum(spec.parts))
+    lean = [n.region, "season", "year", spec.value]
+    if narrow:
+        shown = lean + [c for c in spec.order_names if order and c not in lean]
+    else:
+        shown = spec.visible(out.columns)
+        if shown is not None:
+            shown = shown + [c for c in spec.order if c in out.columns and c not in shown]
+            shown = [c for c in shown if c != spec.value or not spec.parts] + [spec.value] * bool(spec.parts)
+    carried = None if shown is None else shown + [c for c in spec.drop_missing if c not in shown]
+    if spec.dedupe_keys and dedupe:
+        out = prefer_then_first(out, spec.dedupe_keys, spec.preferred_col, spec.preferred,
+                                asc_nulls_last(spec.order), carried)
     if spec.drop_missing:
         out = out.dropna(subset=list(spec.drop_missing))
     if spec.zero_policy == "drop":
-        out = out.filter(F.col(spec.value) != 0)
-    return reuse(out) if keep else out
+        out = out.filter(nan_to_null(spec.value) != 0)
+    return out if shown is None else out.select(*shown)
 
 
-def _minimum(spec: SeriesSpec):
+def _minimum(spec: SeriesSpec) -> Column:
     """Aggregate expression of the offset minimum."""
     if spec.zero_policy == "drop":
         return plain_min(spec.value)
@@ -304,81 +387,45 @@ def minimum_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.groupBy(n.region, "season").agg(_minimum(spec).alias(n.minimum))
 
 
-def _group_stats(base: DataFrame, spec: SeriesSpec) -> list:
-    """Minimum and calendar-year span of every (region, season) group.
+def analyse(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> Series:
+    """The analysis of one tow table; nothing runs before an output is asked for.
 
-    One partial aggregate; the result has at most ``spec.group_bound`` rows
-    (region names x seasons, a bound by construction), checked here.
+    With ``keep`` the narrow pass over the tows is stored once (worth it when
+    ``tows`` is derived: joins, a dedupe, a CSV); ``keep=False`` reads a plain
+    columnar table anew instead, which costs no more.
     """
-    n = spec.names
-    stats = base.groupBy(n.region, "season").agg(
-        _minimum(spec).alias(n.minimum), F.min("year").alias("_lo"), F.max("year").alias("_hi"))
-    rows = stats.limit(spec.group_bound + 1).collect()
-    if len(rows) > spec.group_bound:
-        raise AssertionError("more (region, season) groups than the region map allows")
-    return rows
+    return Series(Record(tows, spec, keep))
 
 
-def analyse(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> Series:
-    """Run the transform step and return the lazily built outputs.
+def _entries_apply(spec: SeriesSpec) -> bool:
+    """Whether the group-sum variant needs no row-level step (projection by
+    name, sampled filter, dedupe)."""
+    if spec.sum_mode != "group" or not spec.parts or spec.keep or spec.sampled or spec.dedupe_keys:
+        return False
+    return not set(spec.drop_missing) - {spec.value} and "region" in spec.sum_keys
 
-    Two actions in all: the group statistics here, and whatever output the
-    caller computes. With ``keep`` the prepared table between them is written
-    once (worth it when ``tows`` is derived: joins, a dedupe, a CSV); pass
-    ``keep=False`` for a plain columnar table, whose pruned re-reads cost no
-    more than a written copy.
-    """
-    n = spec.names
-    entries = _sample_entries(tows, spec, keep)
-    if entries is not None:
-        base = prepared(tows, spec, keep=False)  # row level, built only if a row output is asked
-        rows = _group_stats(entries, spec)
-    else:
-        base = prepared(tows, spec, keep=keep)
-        rows = _group_stats(base, spec)
-    minimum = None
-    for r in rows:
-        hit = F.col(n.region).eqNullSafe(r[n.region]) & F.col("season").eqNullSafe(r["season"])
-        value = F.lit(r[n.minimum]).cast("double")
-        minimum = F.when(hit, value) if minimum is None else minimum.when(hit, value)
-    minimum = F.lit(None).cast("double") if minimum is None else minimum
-    # years spanned per group, plus one row for a missing year
-    bound = sum((r["_hi"] - r["_lo"] + 2) if r["_hi"] is not None else 1 for r in rows)
-    log = half_min_log(spec.value, n.minimum, spec.log_base)
-    logged = base.withColumn(n.minimum, minimum).withColumn(n.log, log)
-    if entries is not None:
-        entries = entries.withColumn(n.minimum, minimum).withColumn(n.log, log)
-    return Series(logged, spec, bound, entries)
-
-
-def _sample_entries(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> DataFrame | None:
+
+def sample_entries(tows: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Group-sum variant: one entry per (sample, month, year) with its row count.
 
     Every row of a sample carries the sample's total, and every row of an
     entry has the same region, season and year, so annual means, minima and
-    SDs computed over entries weighted by ``ROWS`` equal those over rows. Two
-    partial aggregates and a join of the two small results replace the join
-    of the totals back onto every row. ``None`` when the variant also needs
-    row-level steps (projection by name, sampled filter, dedupe).
+    SDs computed over entries weighted by ``ROWS`` equal those over rows. One
+    partial aggregate and a window over its few entries per sample replace the
+    join of the totals back onto every row.
     """
-    if spec.sum_mode != "group" or not spec.parts or spec.keep or spec.sampled or spec.dedupe_keys:
-        return None
-    if set(spec.drop_missing) - {spec.value} or "region" not in spec.sum_keys:
-        return None
+    n = spec.names
     out = select_positions(tows, spec.positions) if spec.positions else tows
     keys = list(spec.sum_keys)
-    # one pass: partial sum and row count per (sample, month, year); the sample
-    # total is then a window over these few entries per sample (never over rows)
     entries = (out.groupBy(*keys, "month", "year")
                   .agg(F.sum(row_sum(spec.parts)).alias("_part"), F.count(F.lit(1)).alias(ROWS))
-                  .withColumn(spec.value, F.sum("_part").over(Window.partitionBy(*keys)))
-                  .drop("_part"))
+                  .withColumn(spec.value, F.sum("_part").over(Window.partitionBy(*keys))))
     entries = classify(entries, spec)
     if spec.drop_missing:
         entries = entries.dropna(subset=list(spec.drop_missing))
     if spec.zero_policy == "drop":
-        entries = entries.filter(F.col(spec.value) != 0)
-    return reuse(entries) if keep else entries
+        entries = entries.filter(nan_to_null(spec.value) != 0)
+    return entries.select("region", n.region, "season", "year", spec.value, ROWS)
 
 
 def year_weighted_by_code(series: Series, code: str = "region") -> DataFrame:
@@ -388,22 +435,18 @@ def year_weighted_by_code(series: Series, code: str = "region") -> DataFrame:
     contributes that year's mean once.
     """
     n = series.spec.names
-    source = series.logged if series.entries is None else series.entries
+    source = series.entries if series.record.grouped else series.logged
     combos = source.select(code, n.region, "season", "year").distinct()
-    per_code = attach(combos, series.annual, series.keys, broadcast=series.small)
+    per_code = attach(combos, series.annual, series.keys)
     return year_sd(per_code, [code, "season"], n.mean, n.sd)
 
 
-def with_names(spec: SeriesSpec, **names) -> SeriesSpec:
-    return replace(spec, names=replace(spec.names, **names))
-
-
 def fish_names(label: str = "FF") -> Names:
     return Names(log=f"log10_{label}", mean=f"log_mean_{label}", run=f"runMean_{label}",
                  sd=f"sd_{label}")
 
 
-# the draft called the named region "Region"; Spark and SQL names are case-insensitive,
+# fixed values: output names of the draft; it called the named region "Region"; Spark and SQL names are case-insensitive,
 # so it would collide with the numeric "region" column: it keeps "region_name"
 DRAFT_NAMES = Names(region="region_name", log="LogofSum", mean="aver", run="runMean",
                     full="running_mean", sd="SD_ts")
@@ -423,14 +466,14 @@ def maintained_volume(**overrides) -> SeriesSpec:
 
 def draft_fish(**overrides) -> SeriesSpec:
     """Forage fish, workshop draft (group sum, SNE kept, drop zeros, natural log)."""
-    base = SeriesSpec(sum_mode="group", region_map=dict(C.REGIONS_SPLIT), sampled=None,
+    base = SeriesSpec(sum_mode="group", metadata=None, region_map=dict(C.REGIONS_SPLIT), sampled=None,
                       dedupe_keys=None, zero_policy="drop", log_base="e", names=DRAFT_NAMES)
     return replace(base, **overrides)
 
 
 def draft_volume(**overrides) -> SeriesSpec:
     """Zooplankton volume, workshop draft (region 0 kept, drop zeros, natural log)."""
-    base = SeriesSpec(value=C.VOLUME, parts=(), region_map=dict(C.REGIONS_SPLIT),
+    base = SeriesSpec(value=C.VOLUME, parts=(), metadata=None, region_map=dict(C.REGIONS_SPLIT),
                       drop_region=None, sampled=None, dedupe_keys=None, zero_policy="drop",
                       log_base="e", names=DRAFT_NAMES)
     return replace(base, **overrides)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,20 +27,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "").startswith("local")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only a local-mode session without
-    one gets a fresh folder of its own (as in tests); a cluster session must
-    name a shared folder, since executors on other hosts read it back.
+    Library code never picks a folder: executors on other hosts read it back,
+    so the session (or its caller) must name a shared one.
     """
     try:
         sc = spark.sparkContext
@@ -52,14 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not _is_local(spark):
-            raise RuntimeError(
-                "spark.checkpoint.dir is unset: name a shared folder (HDFS/S3/...) "
-                "that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="driftline-ckpt-")
-        if sc is None:
-            spark.conf.set("spark.checkpoint.dir", configured)
-            return configured
+        raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder (HDFS/S3/...) "
+                           "that every executor can reach")
     if sc is None:
         return configured
     sc.setCheckpointDir(configured)
@@ -70,3 +57,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/scratch-{name}-{uuid.uuid4().hex}"
+
+
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`scratch_path`, through Spark's file system."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(f"{root}/scratch-"):
+        raise ValueError(f"not a scratch path: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -6,51 +6,85 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
+from driftline.functions.numeric import nan_to_null
 from driftline.operators.ordering import number_rows
 
 MISSING = "NA"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             missing: str = MISSING) -> DataFrame:
-    """Header CSV; ``NA`` and unquoted blanks are missing.
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None,
+             missing: str = MISSING, order_col: str | None = None) -> DataFrame:
+    """Header CSV; ``NA``, NaN and unquoted blanks are missing.
 
     ``schema`` must list every column of the file in file order (Spark applies
     it by position). Without one, types are inferred in one extra pass over the
     file and columns are named from the header, which suits wide survey files.
     A quoted empty string stays an empty string, so blank text tests must
-    accept both (``driftline.operators.quality.is_blank``). NaN text in
-    numeric columns parses to NaN; operators map it to NULL where it matters.
+    accept both (``driftline.operators.quality.is_blank``).
+
+    ``order_col`` adds a column that orders rows as the files hold them: by
+    file path, then position in the file (see :func:`with_file_order`).
     """
     reader = (spark.read.option("header", True).option("nullValue", missing)
                    .option("mode", "FAILFAST"))
-    if schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+    raw = reader.option("inferSchema", True).csv(path) if schema is None else reader.schema(schema).csv(path)
+    if order_col:
+        raw = with_file_order(raw, order_col)
+    return raw.select(*[nan_to_null(_quoted(f.name)).alias(f.name)
+                        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(_quoted(f.name))
+                        for f in raw.schema.fields])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def with_file_order(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Add a source ordinal for "first row" picks on a single input file.
+    """Add a sortable source position for "first row" picks to a frame just read.
 
-    Splits of one file are numbered in file order, so the ordinal grows with
-    the row's position in the file.
+    A struct of file path, block start and position: blocks of a file are in
+    file order, and a task numbers the rows of a block as it reads them. Files
+    are ordered by path, whichever task reads them first.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return df.withColumn(name, F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position")))
+
+
+def _field(col: str, kind, missing: str) -> Column:
+    """One field as text: strings quoted, numbers bare, missing values bare."""
+    x = F.col(_quoted(col))
+    if isinstance(kind, StringType):
+        text = F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    elif isinstance(kind, (DoubleType, FloatType)):
+        whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+        text = F.when(F.isnan(x), F.lit(None)).when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    else:
+        text = x.cast("string")
+    return F.coalesce(text, F.lit(missing))
 
 
 def write_csv(df: DataFrame, path: str, row_names: bool = True,
-              order: Sequence[Column] | None = None, quote_all: bool = True,
-              missing: str = MISSING, row_name_col: str = "row_id") -> None:
-    """Write a header CSV directory; optional leading 1..n row-number column.
+              order: Sequence[Column] | None = None, missing: str = MISSING) -> None:
+    """Write a CSV directory as R does: header and text quoted, numbers and ``NA`` bare.
 
-    With ``order`` the files hold rows in that order and numbers follow it.
+    ``row_names`` adds a leading column of quoted row numbers 1..n without a
+    name. Rows keep the order of ``df``, or follow ``order``; every part file
+    starts with the header.
     """
-    out = df
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    fields = [_field(c, k, missing) for c, k in kinds.items()]
+    header = ['"' + c.replace('"', '""') + '"' for c in kinds]
     if row_names:
-        out = number_rows(df, order or [F.col(c) for c in df.columns], row_name_col)
-    elif order:
-        out = df.orderBy(*order)
-    (out.write.mode("errorifexists").option("header", True).option("quoteAll", quote_all)
-        .option("nullValue", missing).csv(path))
+        marked = df.withColumn("__place", F.monotonically_increasing_id())
+        out = number_rows(marked, order or [F.col("__place")], "__row").orderBy("__row")
+        fields, header = [F.concat(F.lit('"'), F.col("__row").cast("string"), F.lit('"')), *fields], ['""', *header]
+    else:
+        out = df.orderBy(*order) if order else df
+    # one text column whose name is the header line; the writer adds no quotes of its own
+    (out.select(F.concat_ws(",", *fields).alias(",".join(header)))
+        .write.mode("errorifexists").option("header", True).option("quote", "").option("sep", "\u0001")
+        .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path))

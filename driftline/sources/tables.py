@@ -26,6 +26,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return reader.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-def read_indicator(spark: SparkSession, path: str) -> DataFrame:
-    """An indicator table with (EPU, Var, Time, Value) columns, e.g. a published series."""
-    return spark.read.parquet(path)
+def read_indicator(spark: SparkSession, root: str, name: str, epu: str, var: str, time: str,
+                   value: str) -> DataFrame:
+    """An indicator table as (EPU, Var, Time, Value), from expressions over its own columns."""
+    return read_table(spark, root, name).selectExpr(
+        "*", f"{epu} AS EPU", f"{var} AS Var", f"{time} AS Time", f"{value} AS Value")

@@ -99,7 +99,7 @@ def test_analysis_matches_literal(spark, tows, fish):
 
     tows_got = s.tows()
     assert tows_got.count() == len(df)
-    final = {(r[n.region], r.season, r.year): r["_row"] for r in s.final().collect()}
+    final = {(r[n.region], r.season, r.year): r["_row"] for r in s.first_rows().collect()}
     want_first = {(rn, se, y): row for rn, se, y, row in
                   zip(first["region_name"], first["season"], first["year"], first["_row"])}
     assert final == want_first
@@ -134,8 +134,8 @@ def test_constant_series_running_mean(spark, tows):
 def test_dedupe_is_idempotent(spark, tows):
     from driftline.plans.survey import prepared
     rows = random_tows(seed=9)
-    once = prepared(tows(rows), maintained_fish(), keep=False)
-    twice = prepared(once.drop("fishsum"), maintained_fish(), keep=False)
+    once = prepared(tows(rows), maintained_fish())
+    twice = prepared(once.drop("fishsum"), maintained_fish())
     key = lambda r: r["_row"]
     assert sorted(map(key, once.collect())) == sorted(map(key, twice.collect()))
 
@@ -163,10 +163,10 @@ def test_draft_entries_equal_row_path(spark, tows, monkeypatch):
         s = analyse(tows(rows), spec)
         summ = {tuple(r[:3]): tuple(r[3:]) for r in s.summary().collect()}
         by_code = {tuple(r[:2]): r[2] for r in year_weighted_by_code(s).collect()}
-        return s.entries is not None, summ, by_code
+        return s.record.grouped, summ, by_code
 
     used, summ_e, code_e = results()
-    monkeypatch.setattr(survey, "_sample_entries", lambda tows, spec, keep=True: None)
+    monkeypatch.setattr(survey, "_entries_apply", lambda spec: False)
     unused, summ_r, code_r = results()
     assert used and not unused
     assert summ_e.keys() == summ_r.keys() and code_e.keys() == code_r.keys()
@@ -177,7 +177,7 @@ def test_draft_entries_equal_row_path(spark, tows, monkeypatch):
 
 def test_survey_csv_through_the_analysis(spark, tmp_path):
     """The user path: survey CSV (NA = missing) -> file order -> maintained analyses."""
-    from driftline.sources.csv import read_csv, with_file_order
+    from driftline.sources.csv import read_csv
     rows = random_tows(n=250, seed=17)
     cols = ["cruise_name", "station", "zoo_gear", "ich_gear", "region", "date", "month", "year",
             *C.FORAGE_FISH, "volume_1m2"]
@@ -190,7 +190,7 @@ def test_survey_csv_through_the_analysis(spark, tmp_path):
     schema = ("cruise_name STRING, station INT, zoo_gear STRING, ich_gear STRING, region INT, "
               "date STRING, month INT, year INT, cluhar_10m2 DOUBLE, scosco_10m2 DOUBLE, "
               "pepspp_10m2 DOUBLE, ammspp_10m2 DOUBLE, volume_1m2 DOUBLE")
-    tows = with_file_order(read_csv(spark, str(path), schema).coalesce(1))
+    tows = read_csv(spark, str(path), schema, order_col="_row")
     for fish in (True, False):
         spec = maintained_fish() if fish else maintained_volume()
         n = spec.names
@@ -207,3 +207,43 @@ def test_keep_false_gives_the_same_report(spark, tows):
         a = {tuple(r[:2]): r[2] for r in analyse(tows(rows), spec).report().collect()}
         b = {tuple(r[:2]): r[2] for r in analyse(tows(rows), spec, keep=False).report().collect()}
         assert a.keys() == b.keys() and all(_close(a[k], b[k]) for k in a)
+
+
+def test_final_tables_have_the_reference_columns(spark, tows):
+    """Names and order of the running-mean tables on a survey-shaped frame."""
+    df = tows(random_tows(n=120, seed=3))
+    for c in C.TOW_METADATA:
+        if c not in df.columns and c not in ("season", "region_name"):
+            df = df.withColumn(c, F.lit(1.0))
+    df = df.withColumn("another_10m2", F.lit(2.0))
+    tail = lambda x: ["min_nonzero", f"log10_{x}", f"log_mean_{x}", f"sd_{x}", f"runMean_{x}"]
+    fish, volume = analyse(df, maintained_fish()), analyse(df, maintained_volume())
+    want_fish = [*C.TOW_METADATA, *C.FORAGE_FISH, "fishsum", *tail("FF")]
+    want_volume = [*C.TOW_METADATA, "volume_1m2", *tail("ZP")]
+    assert (len(want_fish), len(want_volume)) == (33, 29)
+    assert fish.final().columns == want_fish and volume.final().columns == want_volume
+    assert fish.period(1998).final().columns == want_fish
+    assert fish.tows().columns == want_fish[:-1] and volume.tows().columns == want_volume[:-1]
+
+
+def test_close_deletes_what_was_stored(spark, tows):
+    import os
+    with analyse(tows(random_tows(n=60, seed=1)), maintained_fish()) as s:
+        assert s.final().count() > 0
+        paths = [p.removeprefix("file:") for p in s.record._paths]
+        assert paths and all(os.path.isdir(p) for p in paths)
+    assert not any(os.path.exists(p) for p in paths)
+
+
+def test_smoothed_and_year_weighted_sd(spark, tows):
+    rows = random_tows(n=300, seed=8)
+    s = analyse(tows(rows), maintained_volume(sd_source="running_mean"))
+    run = {(r.region_name, r.season, r.year): r.runMean_ZP for r in s.series.collect()}
+    per = {}
+    for r in s.logged.collect():
+        per.setdefault((r.region_name, r.season), []).append(run[r.region_name, r.season, r.year])
+    for r in s.report().collect():
+        v = per[r.region_name, r.season]
+        m = sum(v) / len(v)
+        want = math.sqrt(sum((x - m) ** 2 for x in v) / (len(v) - 1)) if len(v) > 1 else None
+        assert _close(want, r.sd_ZP)

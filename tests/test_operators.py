@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from driftline import constants as C
-from driftline.operators.columns import (column_range, others_first, relocate, relocate_all,
-                                         select_positions)
+from driftline.operators.columns import column_range, select_positions
 from driftline.operators.dedupe import asc_nulls_last, first_by
 from driftline.operators.joins import attach
 from driftline.operators.ordering import number_rows
 from driftline.operators.quality import is_blank, null_profile, repeated_keys
 from driftline.operators.reshape import layer_table, to_long
-from driftline.operators.series import (annual_mean, min_positive, running_mean, weighted_sd,
+from driftline.operators.series import (annual_mean, positive_min, running_mean, with_weighted_sd,
                                         year_sd)
 from driftline.plans.survey import analyse, draft_fish, maintained_fish, maintained_volume, prepared
 from driftline.sources.csv import read_csv, write_csv
@@ -47,11 +46,11 @@ def test_group_sum_vs_row_sum(spark, tows):
             dict(cruise_name="PC2", station=1, region=1, date="d", month=4, year=1990,
                  ich_gear="x")]
     df = tows(rows)
-    draft = prepared(df, draft_fish(zero_policy="keep"), keep=False)
+    draft = prepared(df, draft_fish(zero_policy="keep"))
     assert _sorted(draft.select("cruise_name", "fishsum").collect()) == \
         [("PC1", 7.0), ("PC1", 7.0), ("PC2", 0.0)]
     spec = maintained_fish(dedupe_keys=None, sampled=None)
-    rowwise = prepared(df, spec, keep=False)
+    rowwise = prepared(df, spec)
     assert _sorted(rowwise.select("cruise_name", "fishsum").collect()) == \
         [("PC1", 3.0), ("PC1", 4.0), ("PC2", 0.0)]
 
@@ -72,10 +71,9 @@ def test_min_nonzero_keep_and_drop_zeros(spark, tows):
 # S10 ------------------------------------------------------------------------------
 def test_no_positive_value_gives_infinity_or_null(spark, tows):
     df = tows([dict(region=1, month=4, year=1990, volume_1m2=0.0)] * 2)
-    inf = min_positive(df.withColumn("season", F.lit("Spring")), ["season"], "volume_1m2")
+    inf = df.agg(positive_min("volume_1m2").alias("min_nonzero"))
     assert inf.first().min_nonzero == math.inf
-    null = min_positive(df.withColumn("season", F.lit("Spring")), ["season"], "volume_1m2",
-                        empty="null")
+    null = df.agg(positive_min("volume_1m2", "null").alias("min_nonzero"))
     assert null.first().min_nonzero is None
 
 
@@ -104,10 +102,10 @@ def test_running_means_rows_not_years(spark):
 def test_sd_weights(spark):
     annual = spark.createDataFrame([("g", 1, 0.0, 1), ("g", 2, 1.0, 3)],
                                    "k STRING, year INT, m DOUBLE, n BIGINT")
-    assert weighted_sd(annual, ["k"], "m", "n", "sd").first().sd == pytest.approx(0.5)
+    assert with_weighted_sd(annual, ["k"], "m", "n", "sd").first().sd == pytest.approx(0.5)
     assert year_sd(annual, ["k"], "m", "sd").first().sd == pytest.approx(math.sqrt(0.5))
     single = spark.createDataFrame([("g", 1, 0.3, 1)], "k STRING, year INT, m DOUBLE, n BIGINT")
-    assert weighted_sd(single, ["k"], "m", "n", "sd").first().sd is None
+    assert with_weighted_sd(single, ["k"], "m", "n", "sd").first().sd is None
     assert year_sd(single, ["k"], "m", "sd").first().sd is None
 
 
@@ -118,19 +116,19 @@ def test_weighted_sd_equals_row_level_sd(spark):
     annual = spark.createDataFrame(rows, "k STRING, year INT, m DOUBLE, n BIGINT")
     expanded = annual.select("k", "m", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
     want = {r.k: r.sd for r in expanded.groupBy("k").agg(F.stddev_samp("m").alias("sd")).collect()}
-    got = {r.k: r.sd for r in weighted_sd(annual, ["k"], "m", "n", "sd").collect()}
+    got = {r.k: r.sd for r in with_weighted_sd(annual, ["k"], "m", "n", "sd").collect()}
     assert got == pytest.approx(want)
 
 
 # S20, S21 ---------------------------------------------------------------------------
 def test_preferred_gear_survives(spark, tows):
-    base = dict(cruise_name="PC2104", station=122, region=1, date="2021-05-01", month=5,
-                year=2021, ich_gear="6B3Z", cluhar_10m2=1.0)
+    base = dict(cruise_name="ZZ0001", station=7, region=1, date="2001-05-09", month=5,
+                year=2001, ich_gear="6B3Z", cluhar_10m2=1.0)
     for first in ("6B3Z", "2B1Z"):
         other = "2B1Z" if first == "6B3Z" else "6B3Z"
         df = tows([dict(base, zoo_gear=first, volume_1m2=1.0),
                    dict(base, zoo_gear=other, volume_1m2=2.0)])
-        out = prepared(df, maintained_fish(), keep=False).collect()
+        out = prepared(df, maintained_fish()).collect()
         assert len(out) == 1 and out[0].zoo_gear == "6B3Z"
 
 
@@ -175,9 +173,6 @@ def test_column_helpers(spark):
     with pytest.raises(IndexError):
         select_positions(df, [6])
     assert column_range(df, "b", "d") == ["b", "c", "d"]
-    assert relocate(df, "a", "c").columns == ["b", "c", "a", "d", "e"]
-    assert relocate_all(df, [("e", "a"), ("zz", "a")]).columns == ["a", "e", "b", "c", "d"]
-    assert others_first(df, ["a", "c"]).columns == ["b", "d", "e", "a", "c"]
 
 
 # O45 -------------------------------------------------------------------------------
@@ -212,27 +207,55 @@ def test_number_rows_consecutive(spark):
     assert sorted((r.row_id, r.v) for r in out) == [(i + 1, i) for i in range(1000)]
 
 
-def test_csv_sink_roundtrip(spark, tmp_path):
-    df = spark.createDataFrame([("MAB", "Spring", 0.5), ("GB", "Fall", None)],
-                               "region_name STRING, season STRING, sd DOUBLE")
-    path = str(tmp_path / "out")
-    write_csv(df, path, order=[F.col("region_name").desc()])
-    back = read_csv(spark, path, "row_id BIGINT, region_name STRING, season STRING, sd DOUBLE")
-    assert _sorted(back.collect()) == [(1, "MAB", "Spring", 0.5), (2, "GB", "Fall", None)]
-    header = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")).read_text()
-    assert header.splitlines()[0] == '"row_id","region_name","season","sd"'
+def test_csv_sink_writes_the_reference_form(spark, tmp_path):
+    df = spark.createDataFrame([("MAB", "Spring", 0.5, 3, 2.0), ('G"B', "Fall, late", None, None, float("nan"))],
+                               "region_name STRING, season STRING, sd_FF DOUBLE, n INT, v DOUBLE").coalesce(1)
 
+    def text(path):
+        parts = sorted(p for p in path.iterdir() if p.name.startswith("part-"))
+        lines = [p.read_text().splitlines() for p in parts]
+        assert len({x[0] for x in lines}) == 1
+        return [lines[0][0], *(y for x in lines for y in x[1:])]
+    write_csv(df, str(tmp_path / "kept"))
+    assert text(tmp_path / "kept") == ['"","region_name","season","sd_FF","n","v"', '"1","MAB","Spring",0.5,3,2',
+                                       '"2","G""B","Fall, late",NA,NA,NA']
+    write_csv(df, str(tmp_path / "sorted"), order=[F.col("region_name")])
+    assert [x.split(",")[:2] for x in text(tmp_path / "sorted")[1:]] == [['"1"', '"G""B"'], ['"2"', '"MAB"']]
+    write_csv(df, str(tmp_path / "plain"), row_names=False)
+    assert text(tmp_path / "plain")[0] == '"region_name","season","sd_FF","n","v"'
+    back = spark.read.option("escape", '"').option("header", True).option("nullValue", "NA").csv(str(tmp_path / "kept"))
+    assert _sorted(back.collect()) == [("1", "MAB", "Spring", "0.5", "3", "2"), ("2", 'G"B', "Fall, late", None, None, None)]
 
-def test_first_by_leading_equals_first_by(spark):
-    from driftline.operators.dedupe import first_by_leading
-    rows = [("a", 3, 1, "x"), ("a", 1, 2, "y"), ("a", 1, 1, "z"), ("b", None, 5, "n1"),
-            ("b", None, 4, "n2"), ("c", None, 1, "m"), ("c", 7, 9, "k"), (None, 2, 2, "nk")]
+
+def test_csv_nan_is_missing_everywhere(spark, tmp_path):
+    path = tmp_path / "tows.csv"
+    path.write_text("station,volume_1m2,sfc_temp\n1,NaN,2.5\n2,3.5,NA\n3,,NaN\n")
+    for schema in ("station INT, volume_1m2 DOUBLE, sfc_temp DOUBLE", None):
+        df = read_csv(spark, str(path), schema)
+        assert df.filter("volume_1m2 IS NULL").count() == 2 and df.filter("isnan(volume_1m2)").count() == 0
+    raw = spark.createDataFrame([(float("nan"), 1), (None, 2), (0.0, 3)], "x DOUBLE, k INT")
+    assert tuple(null_profile(raw, ["x", "k"]).first()) == (2, 0)
+
+
+def test_draft_filter_drops_nan(spark, tows):
+    df = tows([dict(region=1, month=4, year=1990, volume_1m2=v) for v in (float("nan"), 0.0, 2.0, None)])
+    from driftline.plans.survey import draft_volume
+    assert [r.volume_1m2 for r in prepared(df, draft_volume()).collect()] == [2.0]
+
+
+def test_rows_of_several_files_follow_their_paths(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n" + "".join(f"1,{i}\n" for i in range(3)))
+    (tmp_path / "b.csv").write_text("k,v\n" + "".join(f"1,{i}\n" for i in range(100, 5000)))
+    df = read_csv(spark, str(tmp_path), "k INT, v INT", order_col="_row")
+    assert [r.v for r in df.orderBy("_row").collect()] == [*range(3), *range(100, 5000)]
+    assert first_by(df, ["k"], asc_nulls_last(["_row"])).first().v == 0
+
+
+def test_first_by_carries_only_what_is_asked(spark):
+    rows = [("a", 3, 1, "x"), ("a", 1, 2, "y"), ("a", 1, 1, "z"), (None, 2, 2, "nk")]
     df = spark.createDataFrame(rows, "g STRING, lead BIGINT, tie INT, v STRING")
-    order = asc_nulls_last(["lead", "tie"])
-    want = _sorted(first_by(df, ["g"], order).collect())
-    got = _sorted(first_by_leading(df, ["g"], "lead", order).collect())
-    assert got == want == _sorted([("a", 1, 1, "z"), ("b", None, 4, "n2"), ("c", 7, 9, "k"),
-                                   (None, 2, 2, "nk")])
+    got = first_by(df, ["g"], asc_nulls_last(["lead", "tie"]), ["v", "g"])
+    assert got.columns == ["v", "g"] and _sorted(got.collect()) == [("nk", None), ("z", "a")]
 
 
 def test_materialize_helpers(spark):
@@ -241,9 +264,6 @@ def test_materialize_helpers(spark):
     df = spark.range(0, 100, numPartitions=4).select((F.col("id") % 7).alias("k"), "id")
     want = _sorted(df.collect())
     assert _sorted(reuse(df).collect()) == want
-    assert _sorted(reuse(df, "persist").collect()) == want
     assert _sorted(materialize(df).collect()) == want
-    with pytest.raises(ValueError):
-        reuse(df, "elsewhere")
     with pytest.raises(ValueError):
         broadcast_bounded(df, MAX_BROADCAST_ROWS + 1)

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from driftline.operators.series import running_mean, weighted_sd
+from driftline.operators.series import running_mean, with_weighted_sd
 
 values = st.lists(st.one_of(st.none(), st.floats(-5, 5, allow_nan=False)), min_size=1, max_size=12)
 
@@ -46,5 +46,5 @@ def test_weighted_sd_matches_expanded_rows(spark, rows):
     else:
         mu = sum(expanded) / len(expanded)
         want = math.sqrt(sum((x - mu) ** 2 for x in expanded) / (len(expanded) - 1))
-    got = weighted_sd(annual, ["k"], "m", "n", "sd").first().sd
+    got = with_weighted_sd(annual, ["k"], "m", "n", "sd").first().sd
     assert (want is None and got is None) or got == pytest.approx(want, abs=1e-9)
