@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import freed_shuffles, stored
@@ -283,14 +283,21 @@ class Repeats:
 
     def removed(self) -> DataFrame:
         """(id, n_bytes, n_removed, n_spans, kept), one row per document; ``kept`` is binary."""
-        spans = self.members.groupBy("ak", "sh").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+        # spans of a stretch that touch or overlap are one
+        inside = Window.partitionBy("ak", "sh").orderBy("lo", "hi")
+        reach = F.max("hi").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        opens = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
+        spans = (self.members.select("ak", "sh", "lo", "hi").distinct().withColumn("opens", opens)
+                     .withColumn("run", F.sum("opens").over(inside))
+                     .groupBy("ak", "sh", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                     .groupBy("ak", "sh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
         per_doc = (self.places.select("id", "th", "ak", "sh", "start").join(spans, ["ak", "sh"])
-                       .groupBy("id", "th").agg(F.collect_set(F.struct("start", "spans")).alias("found"))
-                       .select(F.col("id").alias("f_id"), F.col("th").alias("f_th"), "found"))
-        cover = F.array_distinct(F.flatten(F.transform("found", lambda f: F.transform(
-            f["spans"], lambda s: F.struct((f["start"] + s["lo"]).alias("a"), (f["start"] + s["hi"]).alias("b"))))))
+                       .select("id", "th", "start", F.inline("spans"))
+                       .select("id", "th", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("b"))
+                       .groupBy("id", "th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+                       .select(F.col("id").alias("f_id"), F.col("th").alias("f_th"), "a", "b"))
         both = self.docs.join(per_doc, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
-        both = both.select("id", "text", F.transform(cover, lambda c: c["a"]).alias("a"), F.transform(cover, lambda c: c["b"]).alias("b"))
+        both = both.select("id", "text", "a", "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
