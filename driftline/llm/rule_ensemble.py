@@ -33,7 +33,7 @@ from driftline.llm.common import empty_if_null, let, stored
 from driftline.plans.materialize import broadcast_bounded
 
 SAMPLE_ROWS = 20_000
-TREES, DEPTH, LASSO = 12, 4, 0.002
+TREES, DEPTH, LASSO, ROUNDS = 8, 3, 0.002, 25
 
 #: classes of characters whose share of the text is a statistic
 SHARES = {
@@ -128,7 +128,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     both = texts.join(broadcast_bounded(picked, rows), F.col("id") == F.col("l_id"))
     return stored(both.select("id", "label", statistics(F.col("text")).alias("s")).select("id", "label", "s.*")
-                      .repartition(4, "id").sortWithinPartitions("id", "label"), "sample")
+                      .repartition(2, "id").sortWithinPartitions("id", "label"), "sample")
 
 
 def fit(sample: DataFrame, seed: int = 5) -> RuleEnsemble:
@@ -145,7 +145,7 @@ def fit(sample: DataFrame, seed: int = 5) -> RuleEnsemble:
     stats = F.struct(*names)
     fired = sample.select("label", *[rule.column(stats).cast("double").alias(f"r{i}") for i, rule in enumerate(rules)])
     fired = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(fired)
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False)
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=ROUNDS, standardization=False)
     model = lasso.fit(fired.select("label", "features"))
     kept = [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray(), strict=True) if w]
     return RuleEnsemble(float(model.intercept), tuple(kept))
