@@ -68,16 +68,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(row, text, n_lines, n_removed, n_chunks): ``row`` is the input row as a
     struct, ``text`` what is left, ``n_removed`` lines in ``n_chunks`` removed chunks."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                        F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    keyed = keyed.withColumn("th", F.xxhash64("body"))
+                        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    body = F.col("row").getField(text_col)  # the text travels once, inside its row
     big = lambda c: c["n"] >= min_lines
 
     # 1. narrow rows: hash of every multi-line chunk
-    spans = let(_lines(F.col("body")), lambda ls: F.transform(
+    spans = let(_lines(body), lambda ls: F.transform(
         F.filter(chunks(ls, window, cut), big),
         lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"),
                            F.xxhash64(_chunk_text(ls, c)).alias("ch"))))
-    rows = (keyed.filter(F.col("body").isNotNull())
+    rows = (keyed.filter(body.isNotNull())
                  .select("id", "th", F.inline(spans)))
     repeated = rows.groupBy("ch").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("ch")
     per_doc = (rows.join(repeated, "ch")
@@ -89,7 +89,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def beside(table: DataFrame, name: str) -> DataFrame:
         return keyed.join(table.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), name),
                           same_doc, "left")
-    texts = let(_lines(F.col("body")), lambda ls: F.transform(
+    texts = let(_lines(body), lambda ls: F.transform(
         F.col("cand"), lambda c: F.struct(c["start"].alias("start"), c["ch"].alias("ch"),
                                           _chunk_text(ls, c).alias("chunk"))))
     found = (beside(per_doc, "cand").filter(F.col("cand").isNotNull())
@@ -111,10 +111,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 F.size(gone).alias("n_chunks"))
         return let(chunks(ls, window, cut), build)
     out = beside(removed, "gone").withColumn(
-        "left", F.when(F.col("gone").isNotNull(), let(_lines(F.col("body")), left)))
-    n_lines = F.when(F.col("body").isNull(), 0).otherwise(F.size(_lines(F.col("body"))))
+        "left", F.when(F.col("gone").isNotNull(), let(_lines(body), left)))
+    n_lines = F.when(body.isNull(), 0).otherwise(F.size(_lines(body)))
     zero = F.lit(0)
-    return out.select("row", F.coalesce(F.col("left.text"), F.col("body")).alias("text"),
+    return out.select("row", F.coalesce(F.col("left.text"), body).alias("text"),
                       n_lines.cast("long").alias("n_lines"),
                       F.coalesce(F.col("left.n_removed"), zero).cast("long").alias("n_removed"),
                       F.coalesce(F.col("left.n_chunks"), zero).cast("long").alias("n_chunks"))
