@@ -8,7 +8,8 @@ half ball (2,081 of them for radius 4), variants meet by a shuffle, and the
 fingerprints that meet at one variant are linked to the smallest of them. Each
 link is verified by its bit distance. Any two that meet are within ``radius``
 by the triangle inequality, so the star holds the same components as all pairs
-would, without emitting all pairs of a group.
+would, without emitting all pairs of a group. Before a task passes its links
+on, it drops those that connect what is connected already.
 
 Scale. Only distinct fingerprints emit (a copy group of any size is one), and a
 variant can be met by at most as many fingerprints as a half ball holds, so no
@@ -46,6 +47,7 @@ PASSES = 8                 # slices of the variant space, worked off one after t
 MIN_BUCKETS = 1024         # buckets of a slice, at least
 BUCKET_VARIANTS = 500_000  # variants of a bucket, about, beyond that
 EMITTED_AT_ONCE = 8192     # fingerprints of a task that deals variants out, about
+LINKS_AT_ONCE = 200_000    # links that a task reduces to a forest at once
 BLOCK = 1 << 16            # shingles hashed at once
 
 
@@ -150,6 +152,24 @@ class Variants:
         return pair[0], pair[1]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links connect: those that join two trees."""
+    parent: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = parent[up]
+            v = up
+        return v
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(i)
+    return a[keep], b[keep]
+
+
 def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``), connecting
     everything that a chain of distances up to ``radius`` connects."""
@@ -173,21 +193,27 @@ def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
         return run
 
     def meet(turn: int):
-        def solve(bucket: int, blobs: list[bytes]) -> pa.RecordBatch:
-            a, b = ball.links(np.frombuffer(b"".join(blobs), np.uint64), bucket, turn)
+        def linked(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            """A task's links, reduced to a forest."""
+            a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, blobs = None, []
+            now, blobs, found, n = None, [], [], 0
             for b in batches:
                 for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     if bucket != now and blobs:
-                        yield solve(now, blobs)
-                        blobs = []
+                        found.append(ball.links(np.frombuffer(b"".join(blobs), np.uint64), now, turn))
+                        n, blobs = n + len(found[-1][0]), []
+                        if n > LINKS_AT_ONCE:
+                            yield linked(found)
+                            found, n = [], 0
                     now = bucket
                     blobs.append(blob)
             if blobs:
-                yield solve(now, blobs)
+                found.append(ball.links(np.frombuffer(b"".join(blobs), np.uint64), now, turn))
+            if found:
+                yield linked(found)
         return run
 
     with freed_shuffles(spark):

@@ -6,7 +6,7 @@ import xxhash
 
 from driftline.llm import simhash_ball
 from driftline.llm.components import connected_components
-from driftline.llm.simhash_ball import Variants, fingerprint, keep_one, simhash_groups
+from driftline.llm.simhash_ball import Variants, fingerprint, forest, keep_one, simhash_groups
 
 
 def slow_fingerprint(text, k=4):
@@ -96,6 +96,19 @@ def test_every_close_pair_meets():
         Variants(3, 32)
 
 
+def test_forest_connects_the_same():
+    rng = random.Random(8)
+    for n in (0, 1, 40, 300):
+        pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(n)]
+        a, b = (np.array([p[i] for p in pairs], np.uint64) for i in (0, 1))
+        x, y = forest(a, b)
+        kept = set(zip(x.tolist(), y.tolist(), strict=True))
+        nodes, linked = range(61), set(pairs)
+        one = roots(nodes, lambda p, q: (p, q) in linked or (q, p) in linked)
+        assert one == roots(nodes, lambda p, q: (p, q) in kept or (q, p) in kept)
+        assert len(kept) == sum(k != v for k, v in one.items())
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(70)] + [(i, i + 1) for i in range(1000, 1040)]
