@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import freed_shuffles, stored
 
-GRAM = 32     # bytes of an anchor
-BUCKET = 128  # distinct stretches that one interval tree takes
+GRAM = 32         # bytes of an anchor
+BUCKET = 1 << 15  # distinct stretches that one interval tree takes (some 10 MB of bytes)
 
 _MULT = 0x9E3779B97F4A7C15
 _UNDO = pow(_MULT, -1, 1 << 64)
@@ -150,13 +150,14 @@ def groups(members: list[tuple[bytes, int, int]], length: int) -> list[tuple[int
         if right + max(map(len, (before[m] for m in order[first:last + 1]))) < length:
             continue
         inside = sorted(order[first:last + 1], key=before.__getitem__)
+        ends = np.concatenate(([0], np.cumsum(np.array(common[first:last]) == right)))
         lefts = [_shared(before[a], before[b]) for a, b in zip(inside, inside[1:], strict=False)]
         for left, a, b in intervals(lefts):
             if left + right < length:
                 continue
             own = inside[a:b + 1]
-            spots = [spot[m] for m in own]
-            if min(common[min(spots):max(spots)]) == right:  # else they share more on the right
+            spots = [spot[m] - first for m in own]
+            if ends[max(spots)] > ends[min(spots)]:  # else they share more on the right
                 found.append((left, right, own))
     return found
 
