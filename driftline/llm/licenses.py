@@ -1,25 +1,31 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directory.
 
 Every line of a file (its header may stand anywhere) and the file as a whole
-are compared with the templates: sparse vectors over words, weighted by inverse
-document frequency (a word counts once per line), by cosine. A file with a line
+are compared with the templates by the cosine of sparse vectors over words,
+weighted by inverse document frequency. In a line a word weighs by its count;
+in a whole file by one plus the logarithm of its count, since in a long text
+plain counts say how often the commonest words stand there. A file with a line
 at or above ``line_cosine`` states its licence itself. A file that as a whole
 reaches ``file_cosine`` is a licence file and speaks for its directory. A file
 that states none inherits from the licence file in the nearest ancestor
 directory, its own first.
 
-Document frequencies are counted over all files, for the words of the
-templates; any other word weighs as one that no file has, so an ordinary line
-is far from every template. The frequency table has one row per template word
-and becomes literals, so scoring is a map over the rows. Inheritance works on
-distinct directories: each is exploded into its ancestors, joined with the
-licence files' directories, reduced to the deepest one by a partial aggregate,
-and joined back; a directory with a third of all files is one row until that
-last join, which AQE can split.
+Document frequencies of all words are counted over all files (a partial
+aggregate) and stay a table, which words meet by a join. Only texts that can
+reach a threshold take that path: the rarest words of a template, taken until
+the rest of its vector is too short for the threshold, are needed words, and a
+text without any of them cannot reach it, whatever else it holds. This loses no
+file: the bound is exact. Repeated texts are scored once. The words of a hot key ("the")
+are narrow rows after a partial aggregate, whose join AQE splits.
+
+Inheritance works on distinct directories: each is exploded into its ancestors,
+joined with the licence files' directories, reduced to the deepest one by a
+partial aggregate, and joined back; a directory with a third of all files is
+one row until that last join, which AQE can split.
 
 Defined results: null and empty texts state nothing and inherit; a null path
 counts as the root directory; of several licence files in a directory the best
-cosine speaks, then the first name; rows that repeat are scored alike; without
+cosine speaks, then the last name; rows that repeat are scored alike; without
 any licence file nothing is inherited; an empty table gives no rows; other
 columns are ignored.
 """
@@ -28,11 +34,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import empty_if_null, let, stored
+from driftline.llm.common import empty_if_null, stored
 
 # fixed values: short public licence notices, by SPDX-style name
 TEMPLATES = {
@@ -46,71 +53,113 @@ TEMPLATES = {
 }
 
 
-def template_words(text: str) -> list[str]:
-    return sorted(set(re.findall("[a-z0-9]+", text.lower())))
+def template_words(text: str) -> Counter:
+    return Counter(re.findall("[a-z0-9]+", text.lower()))
 
 
 def words(text: Column) -> Column:
-    """Distinct words of a text (ASCII letters in lower case, and digits)."""
+    """Words of a text (ASCII letters in lower case, and digits)."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != ""))
+    return F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
 
 
 def _literals(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def weights(files: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[dict[str, float], float]:
-    """Inverse document frequency of the vocabulary, and of a word no file has."""
-    found = files.select(F.explode(F.array_intersect(words(empty_if_null(F.col(text_col))), _literals(vocabulary))).alias("w"))
-    counts = {r["w"]: r["count"] for r in found.groupBy("w").count().collect()}  # one row per template word
-    n = files.count()
-    return {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + n) + 1
-
-
-class Matcher:
-    """Best template of a piece of text, as a column expression."""
-
-    def __init__(self, templates: dict[str, str], idf: dict[str, float], unseen: float):
-        self.sets = {name: template_words(t) for name, t in sorted(templates.items())}
-        self.idf, self.unseen = idf, unseen
-
-    def _square(self, ws: Column) -> Column:
-        table = F.create_map(*[x for w, v in self.idf.items() for x in (F.lit(w), F.lit(v * v))])
-        return F.aggregate(ws, F.lit(0.0), lambda a, w: a + F.element_at(table, w))
-
-    def best(self, text: Column) -> Column:
-        """Struct (cosine, license)."""
-        def of(ws: Column) -> Column:
-            def scored(known: Column) -> Column:
-                norm = self._square(known) + (F.size(ws) - F.size(known)) * (self.unseen ** 2)
-
-                def cosines(norm: Column) -> Column:
-                    out = []
-                    for name, terms in self.sets.items():
-                        own = sum(self.idf[t] ** 2 for t in terms)
-                        dot = self._square(F.array_intersect(known, _literals(terms)))
-                        cosine = F.when(norm > 0, F.round(dot / F.sqrt(norm * own), 9)).otherwise(0.0)
-                        out.append(F.struct(cosine.alias("cosine"), F.lit(name).alias("license")))
-                    return F.array_max(F.array(*out))
-                return let(norm, cosines)
-            return let(F.array_intersect(ws, _literals(list(self.idf))), scored)
-        return let(words(text), of)
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _damped(count: Column) -> Column:
+    return F.log(count) + 1
+
+
+def frequencies(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, df): in how many files each word stands."""
+    found = files.select(F.explode(F.array_distinct(words(empty_if_null(F.col(text_col))))).alias("w"))
+    return stored(found.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "document_frequencies")
+
+
+class Vectors:
+    """The templates as vectors of their words' weights."""
+
+    def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], n: int):
+        self.names = [name for name, _ in templates]
+        counts = [template_words(t) for _, t in templates]
+        idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for c in counts for w in c}
+        self.df = df
+        self.plain = [{w: k * idf[w] for w, k in c.items()} for c in counts]
+        self.damped = [{w: (math.log(k) + 1) * idf[w] for w, k in c.items()} for c in counts]
+
+    def needed(self, vectors: list[dict[str, float]], cosine: float) -> set[str]:
+        """Words of which a text must hold one to reach the cosine with any template."""
+        out = set()
+        for v in vectors:
+            own = sum(x * x for x in v.values())
+            rest = own
+            for w in sorted(v, key=lambda w: (self.df.get(w, 0), w)):
+                if rest <= max(cosine - 1e-6, 0) ** 2 * own:
+                    break
+                out.add(w)
+                rest -= v[w] ** 2
+        return out
+
+    def table(self, files: DataFrame) -> DataFrame:
+        """(w, plain, damped): the weights of a word in all templates; as many rows as the templates have words."""
+        every = sorted({w for v in self.plain for w in v})
+        rows = [(w, [v.get(w, 0.0) for v in self.plain], [v.get(w, 0.0) for v in self.damped]) for w in every]
+        return files.sparkSession.createDataFrame(rows, "w string, plain array<double>, damped array<double>")
+
+    def dots(self, weights: str) -> list[Column]:
+        """Sums of products of ``x`` with each template's column of weights."""
+        return [F.sum(F.coalesce(F.col("x") * F.col(weights)[t], F.lit(0.0))).alias(f"d{t}") for t in range(len(self.names))]
+
+    def best(self, vectors: list[dict[str, float]], square: Column) -> Column:
+        """Struct (cosine, license) from the products and the squared length."""
+        out = []
+        for t, v in enumerate(vectors):
+            own = sum(x * x for x in v.values())
+            cosine = F.when(square > 0, F.round(F.col(f"d{t}") / F.sqrt(square * own), 9)).otherwise(0.0)
+            out.append(F.struct(cosine.alias("cosine"), F.lit(self.names[t]).alias("license")))
+        return F.array_max(F.array(*out))
+
+
+def _scores(texts: DataFrame, vectors: Vectors, df: DataFrame, n: int) -> DataFrame:
+    """(key, line, whole): best template of a text's lines and of the whole text."""
+    lines = texts.select("key", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    counts = (lines.select("key", "i", F.explode(words(F.col("line"))).alias("w"))
+                   .groupBy("key", "i", "w").agg(F.count(F.lit(1)).alias("k")))
+    idf = F.log((1 + n) / (1 + F.col("df"))) + 1
+    tokens = stored(counts.join(df, "w").select("key", "i", "w", "k", idf.alias("idf")), "license_words")
+    table = F.broadcast(vectors.table(texts))
+
+    def squared(units: DataFrame, weights: str, *by: str) -> DataFrame:
+        return units.join(table, "w", "left").groupBy(*by).agg(F.sum(F.col("x") * F.col("x")).alias("sq"), *vectors.dots(weights))
+    single = (squared(tokens.withColumn("x", F.col("k") * F.col("idf")), "plain", "key", "i")
+              .select("key", vectors.best(vectors.plain, F.col("sq")).alias("best"))
+              .groupBy("key").agg(F.max("best").alias("line")))
+    whole = (squared(tokens.groupBy("key", "w").agg(F.sum("k").alias("k"), F.first("idf").alias("idf"))
+                           .withColumn("x", _damped(F.col("k")) * F.col("idf")), "damped", "key")
+             .select("key", vectors.best(vectors.damped, F.col("sq")).alias("whole")))
+    return single.join(whole, "key")
 
 
 def scan(files: DataFrame, templates: dict[str, str] | None = None, line_cosine: float = 0.8, file_cosine: float = 0.5,
          id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(id, path, license, cosine, how): ``how`` is 'header', 'inherited' or null."""
-    templates = templates or TEMPLATES
-    vocabulary = sorted({w for t in templates.values() for w in template_words(t)})
+    pairs = sorted((templates or TEMPLATES).items())
     src = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"),
-                       F.col(text_col).alias("text"))
-    match = Matcher(templates, *weights(src, vocabulary))
-    lines = F.split(empty_if_null(F.col("text")), "\n", -1)
-    scored = stored(src.select(
-        "id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"),
-        F.array_max(F.transform(lines, match.best)).alias("line"),
-        match.best(empty_if_null(F.col("text"))).alias("whole")), "licenses")
+                       empty_if_null(F.col(text_col)).alias("text"))
+    df, n = frequencies(src), src.count()
+    vocabulary = {w for _, t in pairs for w in template_words(t)}
+    known = {r["w"]: r["df"] for r in df.filter(F.col("w").isin(*vocabulary)).collect()}  # one row per template word
+    vectors = Vectors(pairs, known, n)
+    needed = vectors.needed(vectors.plain, line_cosine) | vectors.needed(vectors.damped, file_cosine)
+    near = F.arrays_overlap(words(F.col("text")), _literals(sorted(needed)))
+    rows = stored(src.select("id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"),
+                             F.when(near, F.sha2("text", 256)).alias("key"), F.when(near, F.col("text")).alias("text")), "licenses")
+    texts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.first("text").alias("text"))
+    scores = stored(_scores(texts, vectors, df, n), "license_scores")
+    rows = rows.drop("text")
+    scored = (rows.filter(F.col("key").isNotNull()).join(scores, "key", "left")
+                  .unionByName(rows.filter(F.col("key").isNull()), allowMissingColumns=True).drop("key"))
 
     rank = F.struct("whole.cosine", F.col("whole.license"))
     speaks = (scored.filter(F.col("whole.cosine") >= file_cosine).groupBy("dir")

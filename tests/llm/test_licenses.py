@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -68,3 +69,31 @@ def test_root_speaks_for_all(spark):
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id LONG, path STRING, text STRING")).collect() == []
+
+
+def vector(text, idf, damped=False):
+    counts = Counter(re.findall("[a-z0-9]+", text.lower()))
+    return {w: (math.log(k) + 1 if damped else k) * idf(w) for w, k in counts.items()}
+
+
+def cosine(a, b):
+    norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    return sum(x * b.get(w, 0.0) for w, x in a.items()) / norm if norm else 0.0
+
+
+def test_every_word_has_its_real_frequency(spark):
+    common = "en och som att"
+    texts = [f"{common} {common}\nrow number {i}" for i in range(200)]
+    texts += [TEMPLATES["MIT"] + " en som", TEMPLATES["MIT"] + " en en", TEMPLATES["MIT"] + " qqq xxx zzz", TEMPLATES["MIT"] + " the the"]
+    df = Counter(w for t in texts for w in set(re.findall("[a-z0-9]+", t.lower())))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+    want = {i: cosine(vector(t.split("\n")[0], idf), vector(TEMPLATES["MIT"], idf)) for i, t in enumerate(texts) if i >= 200}
+    got = {r.id: r for r in scan(spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)],
+                                                       "doc_id LONG, path STRING, text STRING")).collect()}
+    assert [want[i] >= 0.8 for i in sorted(want)] == [True, True, False, True]
+    for i, c in want.items():
+        whole = cosine(vector(texts[i], idf, damped=True), vector(TEMPLATES["MIT"], idf, damped=True))
+        want_cosine, how = (c, "header") if c >= 0.8 else (whole, "inherited") if whole >= 0.5 else (None, None)
+        assert (got[i].license, got[i].how) == (how and "MIT", how)
+        assert got[i].cosine == pytest.approx(want_cosine, abs=2e-9)
+    assert all(got[i].how is None for i in range(200))
