@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -97,3 +98,26 @@ def test_every_word_has_its_real_frequency(spark):
         assert (got[i].license, got[i].how) == (how and "MIT", how)
         assert got[i].cosine == pytest.approx(want_cosine, abs=2e-9)
     assert all(got[i].how is None for i in range(200))
+
+
+def test_headers_and_licence_files(spark):
+    from driftline.llm.licenses import _MIT_TEXT, FURTHER, TEXTS
+    gnu = FURTHER["GPL-3.0"][1]
+    wrapped = "\n".join("# " + line for line in textwrap.wrap(gnu, 40))
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + textwrap.fill(_MIT_TEXT, 76)
+    apache = "import os\n\n" + "\n".join("// " + line for line in textwrap.wrap(FURTHER["Apache-2.0"][0], 70)) + "\n\ncode here, with words"
+    texts = {
+        "m/LICENSE": mit, "m/a.py": "x = 1", "g/a.py": "first line of code\n" + wrapped + "\nlast line of code",
+        "s/a.py": "// SPDX-License-Identifier: Apache-2.0", "s/b.py": "# SPDX-License-Identifier: GPL-3.0-or-later\ncode",
+        "i/c.py": "# SPDX-License-Identifier: ISC", "l/a.py": "Licensed under the MIT License.", "h/a.c": apache,
+        "g2/a.c": gnu.replace("version 3", "version 2"), "w/a.md": "Released under\nthe MIT License.",
+        "t/COPYING": (TEXTS / "GPL-3.0.txt").read_text("utf-8"), "t/src/a.c": "int x", "p/COPYING": (TEXTS / "Apache-2.0.txt").read_text("utf-8"),
+        "p/b.c": "int y", "z/a.txt": "some ordinary text under the sun\nof a work that is here"}
+    got = {r.path: (r.license, r.how) for r in scan(spark.createDataFrame(
+        [(i, p, t) for i, (p, t) in enumerate(texts.items())], "doc_id LONG, path STRING, text STRING")).collect()}
+    assert got["m/LICENSE"][0] == got["m/a.py"][0] == "MIT" and got["m/a.py"][1] == "inherited"
+    assert got["g/a.py"] == ("GPL-3.0", "header") and got["g2/a.c"] == ("GPL-2.0", "header")
+    assert got["s/a.py"] == ("Apache-2.0", "header") and got["s/b.py"] == ("GPL-3.0", "header") and got["i/c.py"] == (None, None)
+    assert got["l/a.py"] == got["w/a.md"] == ("MIT", "header") and got["h/a.c"] == ("Apache-2.0", "header")
+    assert got["t/src/a.c"] == ("GPL-3.0", "inherited") and got["p/b.c"] == ("Apache-2.0", "inherited")
+    assert got["z/a.txt"] == (None, None)
