@@ -13,6 +13,8 @@ from driftline.llm.perspectives import rotate
 from driftline.llm.repeats import Repeats
 from driftline.llm.rule_ensemble import train
 from driftline.llm.simhash_ball import simhash_groups
+from driftline.llm.spelling import count_words, spelling_variants, word_runs
+from driftline.llm.turn_repair import Repair, damage
 from driftline.llm.uniform_threshold import top_k
 from driftline.llm.winnow import contamination
 
@@ -95,6 +97,27 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage drawn from its ids."""
+    turns = _read(spark, sf_dir, "conversations")
+    report = Repair(damage(turns)).report()
+    every = turns.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.when(F.col("audit").isNull(), F.lit(0).cast("long"))).alias(c)
+              for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of the words of all documents, one run in 31 short of a letter."""
+    runs = word_runs(_read(spark, sf_dir, "documents"))
+    draw = F.crc32(F.concat(F.coalesce("id", F.lit("")), F.lit(":"), F.col("run")))
+    at = (draw % F.length("run")).cast("int")
+    shorter = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.length("run")))
+    words = count_words(runs, F.when(draw % 31 == 0, shorter).otherwise(F.col("run")))
+    return spelling_variants(words)
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_sharding": op2_sharding,
@@ -106,4 +129,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_top_k": op9_top_k,
     "op10_licenses": op10_licenses,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
