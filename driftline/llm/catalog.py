@@ -9,6 +9,7 @@ from driftline.llm.interleave import interleave
 from driftline.llm.licenses import scan
 from driftline.llm.line_chunks import dedup_lines
 from driftline.llm.mbs_packing import pack
+from driftline.llm.personal_data import find_personal_data
 from driftline.llm.perspectives import rotate
 from driftline.llm.repeats import Repeats
 from driftline.llm.rule_ensemble import train
@@ -97,6 +98,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those the labelers' votes add."""
+    out = find_personal_data(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
+                      F.sha2(F.col("base"), 256).alias("base_sha256"), "spans")
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every conversation after damage drawn from its ids."""
     turns = _read(spark, sf_dir, "conversations")
@@ -129,6 +137,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_top_k": op9_top_k,
     "op10_licenses": op10_licenses,
+    "op11_personal_data": op11_personal_data,
     "op12_turn_repair": op12_turn_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
