@@ -7,6 +7,7 @@ from driftline.functions.numeric import (
     infinity,
     nan_to_null,
     row_sum,
+    short_decimal,
 )
 
 __all__ = [
@@ -18,5 +19,6 @@ __all__ = [
     "region_name",
     "row_sum",
     "season",
+    "short_decimal",
     "split_pair",
 ]

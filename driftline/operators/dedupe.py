@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.plans.materialize import reuse
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -70,3 +72,21 @@ def prefer_then_first(df: DataFrame, keys: Sequence[str], prefer_col: str, prefe
                       order: Sequence[Column], carry: Sequence[str] | None = None) -> DataFrame:
     """Keep one row per key: the preferred-gear row if any, else the first by ``order``."""
     return first_by(df, keys, [preference_flag(prefer_col, preferred), *order], carry)
+
+
+def prefer_where_repeated(df: DataFrame, keys: Sequence[str], prefer_col: str, preferred,
+                          order: Sequence[Column], carry: Sequence[str] | None = None) -> DataFrame:
+    """:func:`prefer_then_first` for a table in which few keys repeat.
+
+    A first pass counts key hashes (eight bytes a row, summed map-side) and
+    stores those that occur twice; only rows with such a hash are exchanged and
+    picked from, all others pass by. Unequal keys of one hash are merely looked
+    at together. ``df`` is read three times, so it should be a plain table. The
+    stored hashes have a known size: the planner broadcasts them only if they are few.
+    """
+    keys = list(keys)
+    hashed = df.withColumn("_hash", F.xxhash64(*[F.col(_quoted(k)) for k in keys]))
+    twice = reuse(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_hash"))
+    picked = prefer_then_first(hashed.join(twice, "_hash", "leftsemi").drop("_hash"), keys, prefer_col, preferred, order, carry)
+    alone = hashed.join(twice, "_hash", "leftanti")
+    return picked.unionByName(alone.select(*[_quoted(c) for c in picked.columns]))

@@ -16,8 +16,10 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from driftline import constants as C
 from driftline.functions.classify import factor_rank, region_name, season, split_pair
 from driftline.functions.numeric import fourth_root, row_sum
-from driftline.operators.columns import column_range, select_positions
+from driftline.operators.category import as_category, count_levels
+from driftline.operators.columns import column_profile, column_range, select_positions
 from driftline.operators.dedupe import asc_nulls_last
+from driftline.operators.filters import up_to_max
 from driftline.operators.joins import attach
 from driftline.operators.quality import blank_counts, is_blank, is_missing, null_profile, repeated_keys
 from driftline.operators.reshape import to_long
@@ -45,7 +47,7 @@ from driftline.sources.fixture import (
     RECENT_START,
     tow_view,
 )
-from driftline.sources.tables import read_indicator, read_table
+from driftline.sources.tables import read_indicator, read_table, write_split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +71,7 @@ LABEL_LEVELS = ("URGENT", "HIGH", "MEDIUM")
 
 
 def _series(spark: SparkSession, root: str, spec: SeriesSpec):
-    return analyse(tow_view(spark, root), spec)
+    return analyse(tow_view(spark, root), spec, fetch=lambda keys: tow_view(spark, root, keys))
 
 
 def _long(spark: SparkSession, root: str, *taxa: str) -> DataFrame:
@@ -202,6 +204,35 @@ def q_period_recent(spark, root):
     return _series(spark, root, ZOO).period(RECENT_START).logged
 
 
+def q_period_stored(spark, root):
+    """The early period of a table stored by year: its scan reads three folders."""
+    rows = write_split(prepared(tow_view(spark, root), ZOO), scratch_path(spark, "tows-by-year"), "year")
+    return analyse(rows, ZOO, keep=False).period(*EARLY).logged.select(*ZOO.keep, ZOO.names.minimum, ZOO.names.log)
+
+
+def q_period_literal(spark, root):
+    """``between(year, lo, max(year))`` as it stands: whole, with missing years, and with them skipped."""
+    rows = prepared(tow_view(spark, root), ZOO)
+    gaps = rows.withColumn("year", F.when(F.col("l_linenumber") != 7, F.col("year")))
+    cases = [("complete", up_to_max(rows, "year", RECENT_START)), ("missing", up_to_max(gaps, "year", RECENT_START)),
+             ("skipped", up_to_max(gaps, "year", RECENT_START, skip_missing=True))]
+    out = None
+    for name, df in cases:
+        part = df.groupBy("year").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("mode"), "year", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_zoo_recent_literal(spark, root):
+    """The recent period up to the computed maximum."""
+    return _series(spark, root, ZOO).period(RECENT_START, literal_max=True).summary()
+
+
+def q_column_order(spark, root):
+    """Columns of the running-mean table by position, with their numbers of values."""
+    return column_profile(_series(spark, root, ZOO).final())
+
+
 def q_distinct_first(spark, root):
     return _series(spark, root, ZOO).first_rows()
 
@@ -224,6 +255,12 @@ def q_dedupe_preferred(spark, root):
     return prepared(tow_view(spark, root), FISH)
 
 
+def q_dedupe_rare(spark, root):
+    """The same dedupe, with only repeated samples exchanged, over the tows as a stored table."""
+    rows = reuse(classify(tow_view(spark, root), FISH).filter(F.col("ich_gear") != ""))
+    return prepared(rows, replace(FISH, rare_repeats=True))
+
+
 def q_multi_column_sum(spark, root):
     tow = tow_view(spark, root)
     return tow.select(*FIXTURE_ORDER, *FIXTURE_TAXA, row_sum(FIXTURE_TAXA).alias("fishsum"))
@@ -281,6 +318,12 @@ def q_taxa_all(spark, root):
     return _long(spark, root).select("taxa", "year", "ind", fourth_root("ind").alias("r4r"))
 
 
+def q_taxa_split(spark, root):
+    """All taxa written from one plan, a folder each; one of them read again."""
+    every = write_split(_long(spark, root).select("taxa", "year", "ind"), scratch_path(spark, "taxa"), "taxa")
+    return every.filter(F.col("taxa") == "f2_10m2")
+
+
 def q_isin(spark, root):
     wanted = {"f3_10m2", "f4_10m2"}
     return _long(spark, root, *[t for t in FIXTURE_TAXA if t in wanted])
@@ -341,6 +384,13 @@ def q_factor_order(spark, root):
                       factor_rank("season", LABEL_LEVELS).cast("double").alias("season_rank"))
 
 
+def q_factor_levels(spark, root):
+    """Count and mean per level of an ordered category, unknown levels as missing."""
+    ind = as_category(_indicator(spark, root), "season", [*LABEL_LEVELS, "NEVER"])
+    out = count_levels(ind, "season", F.avg("Value").alias("Value"))
+    return out.withColumn("level", F.col("level").cast("double"))  # a NULL reads back the same in every client
+
+
 # -- CSV source / sink --------------------------------------------------------
 
 NATION_CSV = StructType([
@@ -372,6 +422,19 @@ def q_csv_survey(spark, root):
     return read_csv(spark, path, CSV_TOW).drop("row_id")
 
 
+def q_csv_text(spark, root):
+    """Every document text through the CSV sink and back: quotes, commas, line breaks, backslashes."""
+    path = scratch_path(spark, "texts-csv")
+    docs = read_table(spark, root, "documents").select("doc_id", _awkward().alias("text"), "source")
+    write_csv(docs, path, row_names=False)
+    return read_csv(spark, path, "doc_id BIGINT, text STRING, source STRING")
+
+
+def _awkward():
+    """A document text with more quotes, commas and backslashes than prose has."""
+    return F.concat(F.translate("text", "eou", "\",\\"), F.lit("\n\"last, line\"\\"))
+
+
 QUERIES: dict[str, Query] = {
     name: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)
 }

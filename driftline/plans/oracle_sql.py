@@ -179,6 +179,9 @@ INDICATOR = ("ind AS (SELECT o_orderkey, o_orderstatus AS EPU, string_split(o_or
              "o_totalprice AS Value FROM orders)")
 
 ZOO_RUN = _final("zp", "ZP", FILE_ORDER)
+LITERAL_MAX = "CASE WHEN count(*) = count(year) THEN max(year) END"
+# fixed values: columns of the running-mean table, in order
+ZOO_FINAL_COLUMNS = (f"{META}, volume_1m2, {ORDER_COLS}, min_nonzero, log10_ZP, log_mean_ZP, sd_ZP, runMean_ZP").split(", ")
 
 RAW: dict[str, str] = {
     # whole analyses
@@ -224,6 +227,14 @@ RAW: dict[str, str] = {
     "q_log_natural": _with(*DRAFT_ZOO) + "SELECT * FROM d5",
     "q_period_early": _with(*ZOO) + "SELECT * FROM zpl WHERE year BETWEEN 1995 AND 1997",
     "q_period_recent": _with(*ZOO) + "SELECT * FROM zpl WHERE year BETWEEN 1999 AND (SELECT max(year) FROM zpl)",
+    "q_period_stored": _with(*ZOO) + "SELECT * FROM zpl WHERE year BETWEEN 1995 AND 1997",
+    "q_period_literal": _with(*ZOO, "gaps AS (SELECT CASE WHEN l_linenumber <> 7 THEN year END AS year FROM zp0)") + " UNION ALL ".join(
+        f"SELECT '{mode}' AS mode, year, count(*) AS n FROM {rows} WHERE year BETWEEN 1999 AND "
+        f"(SELECT {top} FROM {rows}) GROUP BY year"
+        for mode, rows, top in (("complete", "zp0", LITERAL_MAX), ("missing", "gaps", LITERAL_MAX), ("skipped", "gaps", "max(year)"))),
+    "q_zoo_recent_literal": _with(*ZOO, *_summary("zp", "ZP", f"WHERE year BETWEEN 1999 AND (SELECT {LITERAL_MAX} FROM zpl)")) + SUMMARY_SELECT,
+    "q_column_order": _with(*ZOO, *ZOO_RUN, f"final_ AS ({FINAL_SELECT})") + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", count({c}) AS n_present FROM final_" for i, c in enumerate(ZOO_FINAL_COLUMNS, 1)),
     "q_distinct_first": _with(*ZOO) + f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY region_name, season, year ORDER BY {FILE_ORDER}) AS rn FROM zpl) WHERE rn = 1",
     "q_plot_layers": _with(*ZOO, *ZOO_RUN)
                      + _layers("log10_ZP", "zpl", "ann", "log_mean_ZP", "runMean_ZP", "run"),
@@ -232,6 +243,7 @@ RAW: dict[str, str] = {
     "q_draft_layers": _with(*DRAFT_FISH, *DRAFT_SUMMARY) + _layers("LogofSum", "d5", "dann", "aver", "runMean", "drun"),
     # row operators
     "q_dedupe_preferred": _with(*FISH) + "SELECT * FROM ff0",
+    "q_dedupe_rare": _with(*FISH) + "SELECT * FROM ff0",
     "q_multi_column_sum": _with("x AS (SELECT 1)") + f"SELECT {FILE_ORDER}, {', '.join(TAXA)}, {ROW_SUM} AS fishsum FROM tow",
     "q_group_sum": _with("x AS (SELECT 1)") + f"SELECT cruise_name, station, region, date, {FILE_ORDER}, sum({ROW_SUM}) OVER (PARTITION BY cruise_name, station, region, date) AS fishsum FROM tow",
     "q_filter_region": _with(CLS) + "SELECT * FROM cls",
@@ -244,6 +256,7 @@ RAW: dict[str, str] = {
     "q_fourth_root": _with("x AS (SELECT 1)") + "SELECT 'f1_10m2' AS taxa, year, f1_10m2 AS ind, pow(f1_10m2, 0.25) AS r4r FROM tow",
     "q_taxon_series": _with("x AS (SELECT 1)") + "SELECT 'f2_10m2' AS taxa, year, f2_10m2 AS ind FROM tow",
     "q_taxa_all": _with("x AS (SELECT 1)") + _long(TAXA, "'{t}' AS taxa, year, {t} AS ind, pow({t}, 0.25) AS r4r"),
+    "q_taxa_split": _with("x AS (SELECT 1)") + "SELECT 'f2_10m2' AS taxa, year, f2_10m2 AS ind FROM tow",
     "q_isin": _with("x AS (SELECT 1)") + _long(("f3_10m2", "f4_10m2"), LONG_COLS),
     "q_unpivot": _with("x AS (SELECT 1)") + _long(TAXA, LONG_COLS),
     # quality summaries
@@ -256,7 +269,12 @@ RAW: dict[str, str] = {
     "q_separate_filter": "WITH " + INDICATOR + " SELECT * FROM ind WHERE EPU = 'O' AND Var IN ('1', '2', '3')",
     "q_factor_order": "WITH " + INDICATOR + " SELECT o_orderkey, Var, season, CAST(CASE season WHEN 'URGENT' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 END AS DOUBLE) AS season_rank FROM ind",
     "q_indicator_stages": "WITH " + INDICATOR + " SELECT o_orderkey, EPU, Var AS stage, season, Time, Value, CAST(CASE season WHEN 'URGENT' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 END AS DOUBLE) AS season_rank FROM ind WHERE EPU = 'O' AND Var IN ('1', '2', '3')",
+    "q_factor_levels": "WITH " + INDICATOR + ", levels(season, level) AS (VALUES ('URGENT', 1), ('HIGH', 2), ('MEDIUM', 3), ('NEVER', 4)), "
+                       "known AS (SELECT l.season, Value FROM ind LEFT JOIN levels l ON l.season = ind.season) "
+                       "SELECT l.season, CAST(l.level AS DOUBLE) AS level, count(k.Value) AS n, avg(k.Value) AS Value FROM levels l LEFT JOIN known k ON k.season = l.season "
+                       "GROUP BY l.season, l.level UNION ALL SELECT NULL, NULL, count(*), avg(Value) FROM known WHERE season IS NULL HAVING count(*) > 0",
     # CSV round trip
+    "q_csv_text": "SELECT doc_id, translate(text, 'eou', '\",\\') || chr(10) || '\"last, line\"\\' AS text, source FROM documents",
     "q_csv_survey": _with("x AS (SELECT 1)") + "SELECT * EXCLUDE (l_partkey, l_suppkey, l_shipdate, l_extendedprice) FROM tow",
     "q_csv_roundtrip": "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS row_id, n_nationkey, n_name, n_regionkey FROM nation",
 }

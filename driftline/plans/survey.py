@@ -12,17 +12,20 @@ Physical shape (one plan at every scale):
   seasons rows (a bound by construction) and comes back as a broadcast join;
 * the annual table is a partial aggregate; running means and SDs are windows
   and aggregates over it alone;
-* tow-level outputs read the tows once more with all their columns; the annual
-  statistics are a stored table by then, so the planner knows its real size
-  when it picks the join (a broadcast, whatever years the data spans);
-* the first row of each year is found over keys and order columns only, and
-  fetched by a join with those few keys.
+* tow-level outputs of a deduped analysis store the deduped rows once, with
+  all their columns, and every other step reads its few columns from there;
+  those of a plain one read the tows once more. The annual statistics are a
+  stored table by then, so the planner knows its real size when it picks the
+  join (a broadcast, whatever years the data spans);
+* the first row of each year is found over keys and order columns only. Its few
+  keys then go to the source (``fetch``), below its joins, so that the second
+  pass over the tows scans and shuffles nothing but the rows it returns.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 from driftline import constants as C
 from driftline.functions.classify import region_name, region_names, season
 from driftline.functions.numeric import half_min_log, nan_to_null, row_sum
-from driftline.operators.columns import select_positions
-from driftline.operators.dedupe import asc_nulls_last, prefer_then_first
+from driftline.operators.columns import relocate, rest_first, select_positions
+from driftline.operators.dedupe import asc_nulls_last, prefer_then_first, prefer_where_repeated
+from driftline.operators.filters import scalar_max
 from driftline.operators.joins import attach
 from driftline.operators.reshape import layer_table
 from driftline.operators.series import (
@@ -49,6 +53,8 @@ from driftline.operators.series import (
 from driftline.plans.materialize import broadcast_bounded
 from driftline.session import delete_scratch, scratch_path
 
+Fetch = Callable[[DataFrame], DataFrame]
+
 WEIGHT = "_tows"
 ROWS = "_rows"  # rows an entry stands for
 
@@ -84,6 +90,7 @@ class SeriesSpec:
     dedupe_keys: tuple[str, ...] | None = C.SAMPLE_KEY
     preferred_col: str = "zoo_gear"
     preferred: str = C.PREFERRED_ZOO_GEAR
+    rare_repeats: bool = False                 # few keys repeat (a survey file): dedupe those rows only
     drop_missing: tuple[str, ...] = ()         # drop rows with these missing
     zero_policy: str = "keep"                  # 'keep' (offset zeros) | 'drop' (draft)
     log_base: str = "10"                       # '10' | 'e'
@@ -122,11 +129,12 @@ class SeriesSpec:
 class Record:
     """The whole record of one analysis and the tables stored for it."""
 
-    def __init__(self, tows: DataFrame, spec: SeriesSpec, keep: bool = True):
-        self.tows, self.spec, self.keep = tows, spec, keep
+    def __init__(self, tows: DataFrame, spec: SeriesSpec, keep: bool = True, fetch: Fetch | None = None):
+        self.tows, self.spec, self.keep, self.fetch = tows, spec, keep, fetch
         self.grouped = _entries_apply(spec)
         self._values: dict[bool, DataFrame] = {}
         self._paths: list[str] = []
+        self._rows: DataFrame | None = None
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(df.sparkSession, name)
@@ -144,13 +152,27 @@ class Record:
     def values(self, order: bool = False) -> DataFrame:
         """:meth:`narrow`, stored once (unless ``keep`` is off)."""
         known = self._values.get(order)
-        if known is None and not self.grouped:
-            known = self._values.get(True)  # holds all that is needed
+        if known is None and not self.grouped:  # a stored table that holds all that is needed
+            known = self._values.get(True)
+            if known is None and self._rows is not None and set(self.spec.order_names if order else ()) <= set(self._rows.columns):
+                known = self._rows
         if known is None:
             known = self.narrow(order)
             known = self._values[order] = self.store(known, "values") if self.keep else known
         return known
 
+    def rows(self) -> DataFrame:
+        """Every tow with all its columns. A dedupe that must carry them all is
+        done once, and its result stored for this and the narrow steps."""
+        if self._rows is None and self.keep and self.spec.dedupe_keys and not self._values:
+            self._rows = self.store(prepared(self.tows, self.spec), "rows")
+        return prepared(self.tows, self.spec) if self._rows is None else self._rows
+
+    def rows_at(self, keys: DataFrame) -> DataFrame:
+        """The tows that ``keys`` (order columns and more) may name, before any dedupe."""
+        tows = self.tows if self.fetch is None else self.fetch(keys)
+        return prepared(tows, self.spec, dedupe=False)
+
     @functools.cached_property
     def minima(self) -> DataFrame:
         """(region, season, minimum) over the whole record."""
@@ -168,6 +190,7 @@ class Record:
             delete_scratch(self.tows.sparkSession, path)
         self._paths.clear()
         self._values.clear()
+        self._rows = None
 
 
 class Series:
@@ -205,7 +228,7 @@ class Series:
     @functools.cached_property
     def logged(self) -> DataFrame:
         """Every tow with its minimum and log value (order columns included)."""
-        return self.record.logged(self._sliced(prepared(self.record.tows, self.spec)))
+        return self.record.logged(self._sliced(self.record.rows()))
 
     # -- small tables ------------------------------------------------------
     @functools.cached_property
@@ -292,7 +315,7 @@ class Series:
     def first_rows(self) -> DataFrame:
         """First tow row (in table order) of every (region, season, year)."""
         first = self._first_keys
-        rows = self._sliced(prepared(self.record.tows, self.spec, dedupe=False))
+        rows = self._sliced(self.record.rows_at(first))
         hit = attach(rows, first.withColumn("_hit", F.lit(True)), first.columns, how="inner").drop("_hit")
         return self.record.logged(hit.dropDuplicates(self.keys))
 
@@ -301,7 +324,13 @@ class Series:
         the value, the minimum, the log, the annual mean, the SD, the running mean."""
         n = self.spec.names
         rows = self._shown(self.first_rows())
-        return attach(rows, self._stored_stats.select(*self.keys, n.mean, n.sd, n.run), self.keys)
+        out = attach(self._stored_stats.select(*self.keys, n.mean, n.sd, n.run), rows, self.keys, how="inner")
+        # the annual columns go behind those of the tows, then each key to its place among them
+        order = rest_first(out.columns, [*self.keys, n.mean, n.sd, n.run])
+        for key in sorted(self.keys, key=rows.columns.index):
+            at = rows.columns.index(key)
+            order = relocate(order, [key], after=rows.columns[at - 1]) if at else relocate(order, [key])
+        return out.select(*order)
 
     def layers(self) -> DataFrame:
         """Chart data: tow log values, annual means, running means in one long table."""
@@ -315,13 +344,17 @@ class Series:
                             ("running_mean", self.series, n.run)],
                            [n.region, "season", "year"])
 
-    def period(self, lo: int | None, hi: int | None = None) -> "Series":
+    def period(self, lo: int | None, hi: int | None = None, literal_max: bool = False) -> "Series":
         """Slice of the series (``between(year, lo, hi)``; ``hi=None``: from ``lo`` on).
 
         ``year >= lo`` equals ``between(year, lo, max(year))`` whenever no year
-        is missing; the reference would return no rows at all if one were.
+        is missing. With ``literal_max`` the maximum is computed, and one missing
+        year empties the slice, as in the method.
         """
-        cond = F.col("year") >= lo if hi is None else F.col("year").between(lo, hi)
+        if literal_max:
+            cond = F.col("year").between(lo, scalar_max(self._sliced(self.record.values()), "year"))
+        else:
+            cond = F.col("year") >= lo if hi is None else F.col("year").between(lo, hi)
         return Series(self.record, cond if self._cond is None else self._cond & cond)
 
 
@@ -364,8 +397,8 @@ def prepared(tows: DataFrame, spec: SeriesSpec, narrow: bool = False, order: boo
             shown = [c for c in shown if c != spec.value or not spec.parts] + [spec.value] * bool(spec.parts)
     carried = None if shown is None else shown + [c for c in spec.drop_missing if c not in shown]
     if spec.dedupe_keys and dedupe:
-        out = prefer_then_first(out, spec.dedupe_keys, spec.preferred_col, spec.preferred,
-                                asc_nulls_last(spec.order), carried)
+        pick = prefer_where_repeated if spec.rare_repeats else prefer_then_first
+        out = pick(out, spec.dedupe_keys, spec.preferred_col, spec.preferred, asc_nulls_last(spec.order), carried)
     if spec.drop_missing:
         out = out.dropna(subset=list(spec.drop_missing))
     if spec.zero_policy == "drop":
@@ -387,14 +420,18 @@ def minimum_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.groupBy(n.region, "season").agg(_minimum(spec).alias(n.minimum))
 
 
-def analyse(tows: DataFrame, spec: SeriesSpec, keep: bool = True) -> Series:
+def analyse(tows: DataFrame, spec: SeriesSpec, keep: bool = True, fetch: Fetch | None = None) -> Series:
     """The analysis of one tow table; nothing runs before an output is asked for.
 
     With ``keep`` the narrow pass over the tows is stored once (worth it when
     ``tows`` is derived: joins, a dedupe, a CSV); ``keep=False`` reads a plain
     columnar table anew instead, which costs no more.
+
+    ``fetch`` gives, for a table of keys that has the order columns, the tows
+    those keys may name (more do no harm): a source that is itself a join filters
+    its inputs by them. Without it ``tows`` is read once more for first rows.
     """
-    return Series(Record(tows, spec, keep))
+    return Series(Record(tows, spec, keep, fetch))
 
 
 def _entries_apply(spec: SeriesSpec) -> bool:

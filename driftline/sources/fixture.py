@@ -12,6 +12,7 @@ ISO text sorts chronologically.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftline.sources.tables import read_table
 
@@ -33,8 +34,8 @@ TOW_COLUMNS = (
 )
 
 
-def tow_view(spark: SparkSession, root: str) -> DataFrame:
-    """Build ``tow``.
+def tow_view(spark: SparkSession, root: str, keys: DataFrame | None = None) -> DataFrame:
+    """Build ``tow``, or with ``keys`` (a small table with ``l_orderkey``) the tows of those orders.
 
     Join order is chosen for scale: orders -> customer -> nation is joined
     first, so the largest table (lineitem) is shuffled once, on the order key.
@@ -43,18 +44,28 @@ def tow_view(spark: SparkSession, root: str) -> DataFrame:
     broadcast a fact table; sort-merge spills instead of failing, and AQE
     splits skewed keys of it. Only nation (a fixed 25-row dimension) is left
     to the planner, which broadcasts it.
+
+    ``keys`` filter lineitem and orders by semi joins below the fact joins; the
+    planner sees the size of ``keys`` and of what is left, so these joins carry
+    no hints.
     """
     li = read_table(spark, root, "lineitem")
     orders = read_table(spark, root, "orders")
     customer = read_table(spark, root, "customer")
     nation = read_table(spark, root, "nation")
+    if keys is None:
+        li, orders = li.hint("merge"), orders.hint("merge")
+    else:
+        wanted = keys.select(F.col("l_orderkey").alias("wanted_key"))
+        li = li.join(wanted, li.l_orderkey == wanted.wanted_key, "leftsemi")
+        orders = orders.join(wanted, orders.o_orderkey == wanted.wanted_key, "leftsemi")
 
     cust = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
                     .select("c_custkey", "c_mktsegment", "n_regionkey"))
-    ords = (orders.hint("merge").join(cust, orders.o_custkey == cust.c_custkey)
+    ords = (orders.join(cust, orders.o_custkey == cust.c_custkey)
                   .select("o_orderkey", "c_mktsegment", "c_custkey", "o_orderpriority",
                           "o_orderstatus", "n_regionkey", "o_orderdate"))
-    tow = li.hint("merge").join(ords, li.l_orderkey == ords.o_orderkey).selectExpr(
+    tow = li.join(ords, li.l_orderkey == ords.o_orderkey).selectExpr(
         "c_mktsegment AS cruise_name",
         "CAST(c_custkey AS BIGINT) AS station",
         f"CASE WHEN o_orderpriority = '{BLANK_ZOO_GEAR}' THEN '' ELSE o_orderpriority END AS zoo_gear",

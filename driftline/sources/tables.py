@@ -31,3 +31,14 @@ def read_indicator(spark: SparkSession, root: str, name: str, epu: str, var: str
     """An indicator table as (EPU, Var, Time, Value), from expressions over its own columns."""
     return read_table(spark, root, name).selectExpr(
         "*", f"{epu} AS EPU", f"{var} AS Var", f"{time} AS Time", f"{value} AS Value")
+
+
+def write_split(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """Write a Parquet table with one folder per value of ``by``, and read it back.
+
+    A filter on ``by`` then lists and reads only its folders. Rows are rebalanced
+    on ``by`` first, so that a folder gets few files of even size; a value that
+    holds most rows is split among tasks.
+    """
+    df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.parquet(path).select(*df.columns)

@@ -156,9 +156,53 @@ def test_tow_level_outputs_do_not_shuffle_tows(no_aqe, name):
     from driftline.plans.catalog import QUERIES
     tree = plan_tree(QUERIES[name](no_aqe, SF))
     joins = [n for n in tree.walk() if n.text.split(" ")[0] in ("SortMergeJoin", "ShuffledHashJoin")]
-    assert len(joins) == 2  # the two fact joins of the fixture view
+    # the two fact joins of the fixture view; a deduped analysis has stored what comes out of them
+    assert len(joins) == (0 if name == "q_sd_weighted" else 2)
     inputs = {id(m) for j in joins for m in j.walk()}
     for n in tree.walk():  # beyond those, an exchange only takes what a partial aggregate left
         if n.text.startswith("Exchange") and id(n) not in inputs:
             assert "Aggregate" in n.children[0].text.split("(")[0], n.text[:100]
     assert "BroadcastHashJoin" in [n.text.split(" ")[0] for n in tree.walk()]
+
+
+@pytest.mark.parametrize("name", ["q_fish_full", "q_run_mean_final", "q_distinct_first"])
+def test_first_rows_are_fetched_below_the_fact_joins(no_aqe, name):
+    from driftline.plans.catalog import QUERIES
+    tree = plan_tree(QUERIES[name](no_aqe, SF))
+    for table in ("lineitem", "orders"):
+        scans = [n for n in tree.walk() if "FileScan" in n.text and f"{table}.parquet" in n.text]
+        assert len(scans) == 1
+        semi = [n for n in tree.walk() if n.text.startswith("BroadcastHashJoin") and "LeftSemi" in n.text and scans[0] in list(n.walk())]
+        assert semi, f"{table} is not filtered by the keys"
+        below = list(semi[-1].walk())
+        between = [n for n in below if n.text.startswith("Exchange") and scans[0] in list(n.walk())]
+        assert not between, f"{table} is shuffled before it is filtered"
+
+
+def test_a_deduped_output_dedupes_once(no_aqe):
+    from driftline.plans.catalog import FISH
+    from driftline.plans.survey import analyse
+    from driftline.sources.fixture import tow_view
+    s = analyse(tow_view(no_aqe, SF), FISH)
+    tree = plan_tree(s.tows())
+    assert not any("min_by" in n.text or "lineitem.parquet" in n.text for n in tree.walk())
+    assert len(s.record._paths) == 2  # the rows and the annual statistics
+
+
+def test_stored_forms_read_only_their_folders(no_aqe):
+    from driftline.plans.catalog import QUERIES
+    taxa = [n.text for n in plan_tree(QUERIES["q_taxa_split"](no_aqe, SF)).walk() if "FileScan" in n.text]
+    assert len(taxa) == 1 and re.search(r"PartitionFilters: \[[^\]]*taxa", taxa[0])
+    early = [n.text for n in plan_tree(QUERIES["q_period_stored"](no_aqe, SF)).walk() if "FileScan" in n.text]
+    pruned = [t for t in early if re.search(r"PartitionFilters: \[[^\]]*year", t)]
+    assert len(early) == 2 and len(pruned) == 1  # the minimum reads one column of the whole record
+
+
+def test_rare_repeats_are_exchanged_alone(no_aqe):
+    from driftline.operators.dedupe import prefer_where_repeated
+    from pyspark.sql import functions as F
+    df = no_aqe.range(1000).select((F.col("id") % 997).alias("k"), F.lit("g").alias("gear"), "id")
+    tree = plan_tree(prefer_where_repeated(df, ["k"], "gear", "x", [F.col("id")]))
+    for n in tree.walk():
+        if n.text.startswith("Exchange"):  # only what has met the stored hashes, or is a key table
+            assert any("LeftSemi" in m.text for m in n.walk()), n.text[:100]
