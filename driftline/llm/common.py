@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import scratch_path
+from driftline.session import delete_scratch, scratch_path
 
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -20,7 +20,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete stored tables that no later plan reads; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "scratch", None)
+        if path:
+            delete_scratch(table.sparkSession, path)
+            table.scratch = None
 
 
 @contextmanager

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import freed_shuffles, stored
+from driftline.llm.common import forget, freed_shuffles, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -45,9 +45,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                         .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
         mark = _mark(e)
         while mark[0]:
-            e = stored(_small_star(_large_star(e)), "edges")
+            last, e = e, stored(_small_star(_large_star(e)), "edges")
+            forget(last)
             new = _mark(e)
             if new == mark:
                 break
             mark = new
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out = e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out.scratch = e.scratch
+    return out

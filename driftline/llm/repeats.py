@@ -17,16 +17,28 @@ contexts); members that share ``left`` bytes before and ``right`` bytes after
 the anchor, and no more, are a maximal repeat group if ``left + right`` reaches
 ``length``. (Maximal within the stretch: a longer repeat is a chain of groups.)
 
+What a bucket passes on is one row per stretch. All groups of a stretch hold
+its anchor, so the bytes that any of them covers are one span: as far left and
+as far right as its groups reach. The groups themselves, with all occurrences,
+are expanded on demand (:meth:`Repeats.occurrences`).
+
 Hot buckets. A bucket with more than ``BUCKET`` distinct stretches (a passage
-that very many documents share, in as many contexts) is dealt out anew by the
-whole ``length``-byte prefix of every window, hashed: each such suffix interval
-is one counter of a partial aggregate, so no task holds the bucket.
+that very many documents share, in as many contexts) is more than a task should
+hold. Its spans are found by a partial aggregate over the hashes of all windows,
+of which the first and the last repeated one bound a stretch's span. Its groups
+are found by the same trees, dealt out anew by more of their bytes: a group that
+reaches ``right`` bytes from the anchor on, between two of ``LEVELS`` levels,
+shares the bytes up to the lower level and as many bytes on the left as the
+upper one leaves to ``length``, and these name the part that it is found in.
 
 Everything is judged on the input; every byte in a window that starts anywhere
-else too, in the same document or another, is removed. Intermediate tables are
-stored in the shared checkpoint folder and shuffle files dropped behind them.
+else too, in the same document or another, is removed. Stretches and windows are
+told apart by 64-bit hashes inside a 64-bit anchor bucket; the trees compare
+bytes. Intermediate tables are stored in the shared checkpoint folder and
+shuffle files dropped behind them.
 
-Defined results: a null text is empty; texts shorter than ``length`` lose
+Defined results: a null text is empty; a text may be of any length (long ones are
+hashed in segments); texts shorter than ``length`` lose
 nothing; rows that repeat a whole row are documents of their own, so each loses
 what the others have; rows with a null id take part; an empty table gives no
 rows; extra columns are ignored.
@@ -34,16 +46,18 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import freed_shuffles, stored
+from driftline.llm.common import forget, freed_shuffles, stored
 
 GRAM = 32         # bytes of an anchor
+LEVELS = 4        # levels that groups of a hot bucket are dealt out by
+SEGMENT = 1 << 20  # bytes of a text that are hashed at once
 BUCKET = 1 << 15  # distinct stretches that one interval tree takes (some 10 MB of bytes)
 
 _MULT = 0x9E3779B97F4A7C15
@@ -90,7 +104,20 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, stretch hash, start, size, place of the anchor) of each stretch."""
+    """(anchor hash, stretch hash, start, size, place of the anchor) of each stretch.
+
+    A long text is worked off in segments that overlap by a window less a byte;
+    every window is in one of them, and a stretch may be cut at their bounds."""
+    if len(raw) < SEGMENT + length:
+        return _segment(raw, length)
+    parts = []
+    for at in range(0, len(raw) - length + 1, SEGMENT):
+        ak, sh, first, size, place = _segment(raw[at:at + SEGMENT + length - 1], length)
+        parts.append((ak, sh, first + at, size, place))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _segment(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
     n = len(raw)
     if n < length:
         none = np.zeros(0, np.int64)
@@ -140,7 +167,7 @@ def groups(members: list[tuple[bytes, int, int]], length: int) -> list[tuple[int
     """(left, right, members) of the maximal repeat groups of one bucket.
 
     A member is (stretch, place of the anchor, count)."""
-    found = [(place, len(s) - place, [i]) for i, (s, place, count) in enumerate(members) if count > 1]
+    found = []
     after = [s[place:] for s, place, _ in members]
     before = [s[:place][::-1] for s, place, _ in members]
     order = sorted(range(len(members)), key=after.__getitem__)
@@ -159,7 +186,9 @@ def groups(members: list[tuple[bytes, int, int]], length: int) -> list[tuple[int
             spots = [spot[m] - first for m in own]
             if ends[max(spots)] > ends[min(spots)]:  # else they share more on the right
                 found.append((left, right, own))
-    return found
+    whole = {m for left, right, own in found for m in own
+             if (left, right) == (members[m][1], len(members[m][0]) - members[m][1])}
+    return found + [(place, len(s) - place, [i]) for i, (s, place, count) in enumerate(members) if count > 1 and i not in whole]
 
 
 def _id_type(df: DataFrame, name: str) -> str:
@@ -202,6 +231,7 @@ class Repeats:
         shared = anchors.groupBy("ak").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ak")
         #: every occurrence of a stretch whose bucket has another suffix
         self.places = stored(anchors.join(shared, "ak"), "places")
+        forget(anchors)
         spot = F.struct("id", "th", "start")
         kinds = self.places.groupBy("ak", "sh", "shape").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("spot"))
         sizes = kinds.groupBy("ak").agg(F.count(F.lit(1)).alias("kinds"))
@@ -215,45 +245,85 @@ class Repeats:
         bodies = (own.select("text", F.inline("mine"))
                      .select("ak", "sh", "n", "kinds", F.col("shape").bitwiseAND(0xFFFF).alias("place"),
                              F.substring(raw, F.col("start").cast("int") + 1, size.cast("int")).alias("body")))
-        bodies = stored(bodies, "bodies")
-        alone = kinds.filter("kinds = 1").select("ak", "sh", F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("lo"),
-                                                 size.alias("hi"))
-        #: (bucket, stretch, group, lo, hi): the bytes [lo, hi) of the stretch belong to the group
-        self.members = stored(alone.unionByName(self._trees(bodies.filter(F.col("kinds") <= BUCKET)))
-                                   .unionByName(self._windows(bodies.filter(F.col("kinds") > BUCKET))), "members")
-
-    def _trees(self, bodies: DataFrame) -> DataFrame:
-        length = self.length
-
-        def solve(ak: int, bucket: list[tuple]) -> list[tuple]:
-            seen: dict[int, tuple] = {r[0]: r for r in bucket}  # a repeated row names a stretch twice
-            rows = list(seen.values())
-            out = []
-            for g, (left, right, own) in enumerate(groups([(r[3], r[2], r[1]) for r in rows], length)):
-                out += [(ak, rows[m][0], g, rows[m][2] - left, rows[m][2] + right) for m in own]
-            return out
-
+        self.bodies = stored(bodies, "bodies")
+        alone = kinds.filter("kinds = 1").select("ak", "sh", F.lit(0).cast("long").alias("lo"), size.cast("long").alias("hi"))
+        #: (bucket, stretch, lo, hi): the bytes [lo, hi) of the stretch repeat
+        self.spans = stored(alone.unionByName(self._tree_spans()).unionByName(self._window_spans()), "spans")
+        self._kinds, self._alone = kinds, kinds.filter("kinds = 1")
+
+    def _solved(self, dealt: DataFrame, solve: Callable[[tuple, list[tuple]], list[tuple]], keys: list[str],
+                names: list[str]) -> DataFrame:
+        """Rows of longs that ``solve(keys, stretches)`` makes of each bucket, or part of one."""
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["ak", "sh", "grp", "lo", "hi"])
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, bucket, out = None, [], []
+            now, bucket, out = None, {}, []
             for b in batches:
-                for ak, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if ak != now:
-                        out += solve(now, bucket)
-                        now, bucket = ak, []
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if row[:len(keys)] != now:
+                        out += solve(now, list(bucket.values()))
+                        now, bucket = row[:len(keys)], {}
                         if len(out) > 10_000:
                             yield batch(out)
                             out = []
-                    bucket.append(row)
-            yield batch(out + solve(now, bucket))
-        dealt = bodies.select("ak", "sh", "n", "place", "body").repartition("ak").sortWithinPartitions("ak")
-        return dealt.mapInArrow(run, "ak long, sh long, grp long, lo long, hi long")
+                    own = row[len(keys):]
+                    bucket[own[0]] = own  # a repeated row names a stretch twice
+            yield batch(out + solve(now, list(bucket.values())))
+        dealt = dealt.select(*keys, "sh", "n", "place", "body").repartition(*keys).sortWithinPartitions(*keys)
+        return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+    def _tree_spans(self) -> DataFrame:
+        length = self.length
+
+        def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+            reach: dict[int, tuple[int, int]] = {}
+            for left, right, own in groups([(body, place, n) for _, n, place, body in rows], length):
+                for m in own:
+                    far = reach.get(m, (0, 0))
+                    reach[m] = (max(far[0], left), max(far[1], right))
+            return [(*key, rows[m][0], rows[m][2] - left, rows[m][2] + right) for m, (left, right) in reach.items()]
+        return self._solved(self.bodies.filter(F.col("kinds") <= BUCKET), solve, ["ak"], ["ak", "sh", "lo", "hi"])
 
-    def _windows(self, bodies: DataFrame) -> DataFrame:
-        """The same for hot buckets, by the whole prefix of every window."""
+    def _tree_members(self) -> DataFrame:
+        length = self.length
+
+        def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+            found = groups([(body, place, n) for _, n, place, body in rows], length)
+            return [(*key, rows[m][0], 0, g, rows[m][2] - left, rows[m][2] + right)
+                    for g, (left, right, own) in enumerate(found) for m in own]
+        return self._solved(self.bodies.filter(F.col("kinds") <= BUCKET), solve, ["ak"], ["ak", "sh", "part", "grp", "lo", "hi"])
+
+    def _part_members(self) -> DataFrame:
+        """The groups of hot buckets, by parts."""
+        length = self.length
+        levels = [*np.linspace(GRAM, length, LEVELS + 1).astype(int).tolist()[:-1], 1 << 30]
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, level, part = [], [], []
+                for i, (place, body) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                    for j, (low, high) in enumerate(zip(levels, levels[1:], strict=False)):
+                        left = max(length - high + 1, 0)
+                        if len(body) - place >= low and place >= left:
+                            own = np.frombuffer(body[place - left:place + low], np.uint8)
+                            at.append(i), level.append(j)
+                            part.append(_hashes(_sums(own), np.array([0]), np.array([len(own)])).view(np.int64)[0])
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns), pa.array(level, pa.int64()), pa.array(part, pa.int64())],
+                                                 ["ak", "sh", "n", "place", "body", "level", "part"])
+
+        def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+            found = groups([(body, place, n) for _, n, place, body in rows], length)
+            return [(key[0], rows[m][0], key[2], len(levels) * g + key[1], rows[m][2] - left, rows[m][2] + right)
+                    for g, (left, right, own) in enumerate(found) if levels[key[1]] <= right < levels[key[1] + 1] for m in own]
+        hot = (self.bodies.filter(F.col("kinds") > BUCKET).dropDuplicates(["ak", "sh"]).select("ak", "sh", "n", "place", "body")
+                   .mapInArrow(deal, "ak long, sh long, n long, place long, body binary, level long, part long"))
+        return self._solved(hot, solve, ["ak", "level", "part"], ["ak", "sh", "part", "grp", "lo", "hi"])
+
+    def _window_spans(self) -> DataFrame:
+        """The spans of hot buckets, from their repeated windows."""
         length = self.length
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,30 +340,29 @@ class Repeats:
                     yield pa.RecordBatch.from_arrays(
                         [ak.take(rows), sh.take(rows), n.take(rows), pa.array(before), pa.array(np.concatenate(wh).view(np.int64)),
                          pa.array(los)], ["ak", "sh", "n", "before", "wh", "lo"])
-        every = (bodies.dropDuplicates(["ak", "sh"]).select("ak", "sh", "n", "place", "body")
-                       .mapInArrow(run, "ak long, sh long, n long, before long, wh long, lo long"))
+        every = (self.bodies.filter(F.col("kinds") > BUCKET).dropDuplicates(["ak", "sh"]).select("ak", "sh", "n", "place", "body")
+                     .mapInArrow(run, "ak long, sh long, n long, before long, wh long, lo long"))
         keys = ["ak", "before", "wh"]
         again = every.groupBy(*keys).agg(F.sum("n").alias("times")).filter("times > 1").select(*keys)
-        return every.join(again, keys).select("ak", "sh", F.col("wh").alias("grp"), "lo", (F.col("lo") + length).alias("hi"))
+        return every.join(again, keys).groupBy("ak", "sh").agg(F.min("lo").alias("lo"), (F.max("lo") + length).alias("hi"))
 
     def occurrences(self) -> DataFrame:
         """(bucket, group, id, th, start, stop): all occurrences of all repeat groups, in bytes."""
-        both = self.places.select("id", "th", "ak", "sh", "start").join(self.members, ["ak", "sh"])
-        return both.select(F.col("ak").alias("bucket"), F.col("grp").alias("group"), "id", "th",
+        size = F.shiftright("shape", 16).cast("long")
+        zero = F.lit(0).cast("long")
+        alone = self._alone.select("ak", "sh", zero.alias("part"), zero.alias("grp"), zero.alias("lo"), size.alias("hi"))
+        members = alone.unionByName(self._tree_members()).unionByName(self._part_members())
+        both = self.places.select("id", "th", "ak", "sh", "start").join(members, ["ak", "sh"])
+        return both.select(F.col("ak").alias("bucket"), F.struct("part", "grp").alias("group"), "id", "th",
                            (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi")).alias("stop"))
 
+    def close(self) -> None:
+        """Delete the stored tables; what was asked for must have been computed by then."""
+        forget(self.places, self.bodies, self.spans, self._kinds)
+
     def removed(self) -> DataFrame:
         """(id, n_bytes, n_removed, n_spans, kept), one row per document; ``kept`` is binary."""
-        # spans of a stretch that touch or overlap are one
-        inside = Window.partitionBy("ak", "sh").orderBy("lo", "hi")
-        reach = F.max("hi").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-        opens = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
-        spans = (self.members.select("ak", "sh", "lo", "hi").distinct().withColumn("opens", opens)
-                     .withColumn("run", F.sum("opens").over(inside))
-                     .groupBy("ak", "sh", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                     .groupBy("ak", "sh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-        per_doc = (self.places.select("id", "th", "ak", "sh", "start").join(spans, ["ak", "sh"])
-                       .select("id", "th", "start", F.inline("spans"))
+        per_doc = (self.places.select("id", "th", "ak", "sh", "start").join(self.spans, ["ak", "sh"])
                        .select("id", "th", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("b"))
                        .groupBy("id", "th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
                        .select(F.col("id").alias("f_id"), F.col("th").alias("f_th"), "a", "b"))
@@ -323,5 +392,3 @@ def cut(raw: bytes, starts: list[int], stops: list[int]) -> tuple[int, int, byte
     gone = np.cumsum(depth[:-1]) > 0
     runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
     return int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()
-
-

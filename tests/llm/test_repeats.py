@@ -61,6 +61,40 @@ def test_occurrences_hold_equal_bytes(docs):
         assert len(bodies) == 1 and len(bodies.pop()) >= 60
 
 
+def expanded(r):
+    """Every group as the set of its occurrences."""
+    by = {}
+    for x in r.occurrences().collect():
+        by.setdefault((x.bucket, x.group), set()).add((x.id, x.th, x.start, x.stop))
+    return sorted(sorted(map(str, g)) for g in by.values())
+
+
+def test_hot_buckets_have_the_same_groups(docs, monkeypatch):
+    rows = list(enumerate(many(11, 50))) + [(100, many(11, 50)[0])]
+    cold = expanded(Repeats(docs(rows), 60))
+    monkeypatch.setattr(repeats, "BUCKET", 2)
+    assert expanded(Repeats(docs(rows), 60)) == cold
+    assert len(cold) > 20
+
+
+def test_one_span_per_stretch(docs):
+    found = Repeats(docs(list(enumerate(many(4, 60)))), 50)
+    assert found.spans.count() == found.spans.select("ak", "sh").distinct().count() > 50
+
+
+def test_segments_of_long_texts(docs, monkeypatch):
+    rows = list(enumerate(many(3, 30)))
+    rows.append((99, " ".join(t for _, t in rows[:20])))
+    monkeypatch.setattr(repeats, "SEGMENT", 300)
+    assert sorted(digest(Repeats(docs(rows), 60)), key=str) == brute(rows, 60)
+
+
+def test_long_text(docs):
+    long = "".join(random.Random(1).choices("abcdefgh ", k=2_500_000))
+    got = {r[0]: r[1:4] for r in digest(Repeats(docs([(1, long), (2, "HEAD#" + long[1_048_000:1_049_500] + "#TAIL")]), 200))}
+    assert got == {1: (2_500_000, 1500, 1), 2: (1510, 1500, 1)}
+
+
 def test_groups_are_maximal():
     rng = random.Random(6)
     for _ in range(300):
