@@ -12,11 +12,13 @@ rows, not one: turns are numbered by one range-partitioned sort
 (`number_rows`), grouped by (conversation, block), and meet the conversation's
 speakers in a join that AQE can split.
 
-``<|`` inside a text is written ``< |``, so no text can open a turn.
+``<|`` inside a text is written ``< |``, so no text can open a turn. In the name
+of a speaker ``|>`` is written ``| >`` as well, and a blank follows a last ``<``,
+so no role can close its header or open another one.
 
 Defined results: a null text is empty, a null role is the speaker ``unknown``;
 equal turn numbers are ordered by role, then text; repeated rows are repeated
-turns; rows with a null conversation id form one conversation; a conversation
+turns; texts and roles of any length; rows with a null conversation id form one conversation; a conversation
 with neutral turns only gives no rows; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -32,7 +34,9 @@ END = "<|end|>\n"
 
 
 def _header(role: Column, speaker: Column, neutral: tuple[str, ...]) -> Column:
-    named = F.concat(F.lit("<|user name="), role, F.lit("|>\n"))
+    name = F.replace(F.replace(role, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    name = F.when(name.endswith("<"), F.concat(name, F.lit(" "))).otherwise(name)
+    named = F.concat(F.lit("<|user name="), name, F.lit("|>\n"))
     own = F.when(role.isin(*neutral), F.concat(F.lit("<|"), role, F.lit("|>\n"))) if neutral else F.when(F.lit(False), named)
     return own.when(role == speaker, F.lit("<|assistant|>\n")).otherwise(named)
 
