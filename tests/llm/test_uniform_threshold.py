@@ -47,6 +47,26 @@ def test_large_components_stay_exact(spark):
         (3, 192000 * 192032 - 64 * 64), (1, 192000 * 191936 + 64 * 448)]
 
 
+def test_scores_beyond_floats_and_vectors_beyond_longs(spark):
+    big = 2.0**24
+    rows = [(0, [big, 3.0]), (1, [big, 2.5]), (2, [big + 1 / 64, -7.0]), (3, [-big, 1.0]), (4, [1e300, 0.0]), (5, [0.0, -1e300]),
+            (6, [1.0, 1.0]), (7, [2.0**26, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>")
+    ints = {i: [math.floor(64 * x) for x in v] for i, v in rows if i not in (4, 5, 7)}
+    want = sorted((-sum(a * b for a, b in zip(ints[0], v, strict=True)), i) for i, v in ints.items() if i)
+    assert 2**53 < -want[0][0] < 2**63
+    got = top_k(df, F.col("vec_id") % 4 == 0, k=10).filter("query_id = 0").orderBy("rank").collect()
+    assert [(-r.score, r.vec_id) for r in got] == want
+
+
+def test_lists_merge_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(uniform_threshold, "FAN_IN", 2)
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>")
+    assert sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 9 == 0, k=4).collect()) == brute(rows, 4, 9)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert top_k(none, F.col("vec_id") % 5 == 0).collect() == []
