@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directory.
 
-Every run of up to ``RUN_LINES`` adjacent lines of a file (its header may stand
-anywhere, wrapped at any width) and the file as a whole are compared with the
+Every run of adjacent lines of a file that has no more words than ``RUN_FACTOR``
+times the longest template (a header may stand anywhere, wrapped at any width)
+and the file as a whole are compared with the
 templates by the cosine of sparse vectors over words, weighted by inverse
 document frequency. In a run a word weighs by its count; in a whole file by one
 plus the logarithm of its count, since in a long text plain counts say how
@@ -46,7 +47,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import empty_if_null, stored
+from driftline.llm.common import empty_if_null, forget, stored
 
 # fixed values: short public licence notices, by SPDX-style name
 TEMPLATES = {
@@ -127,8 +128,8 @@ governing permissions and limitations under the License.""",
 not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
                 "Licensed under the Mozilla Public License 2.0."],
 }
-#: longest header; the long licence texts are compared with whole files only
-RUN_LINES = 32
+#: words of a run of lines, in words of the longest template for runs; long licence texts are compared with whole files only
+RUN_FACTOR = 1.4
 TEXTS = Path(__file__).parent / "license_texts"
 SPDX = re.compile(r"(-only|-or-later|\+)?$")
 
@@ -181,6 +182,7 @@ class Vectors:
         self.df = df
         self.plain = [{w: k * idf[w] for w, k in c.items()} for c in counts[:short]]
         self.damped = [{w: (math.log(k) + 1) * idf[w] for w, k in c.items()} for c in counts]
+        self.run_words = math.ceil(RUN_FACTOR * max(c.total() for c in counts[:short]))
 
     def needed(self, vectors: list[dict[str, float]], cosine: float) -> set[str]:
         """Words of which a text must hold one to reach the cosine with any template."""
@@ -217,26 +219,34 @@ class Vectors:
 
 
 def _runs(lines: DataFrame, vectors: Vectors, cosine: float) -> DataFrame:
-    """(key, s, e): runs of two to ``RUN_LINES`` lines that can reach the cosine.
+    """(key, s, e): runs of two lines or more, and no more words than a header, that can reach the cosine.
 
-    ``lines`` holds each line's squared length ``sq``, products ``d0``, ``d1``... and ``hit``, whether it has a
-    needed word. The first and the last line of a best run share words with its template.
+    ``lines`` holds each line's number of words, squared length ``sq``, products ``d0``, ``d1``... and ``hit``,
+    whether it has a needed word. The first and the last line of a best run share words with its template.
     """
     ds = [f"d{t}" for t in range(len(vectors.plain))]
-    around = Window.partitionBy("key").orderBy("i").rangeBetween(1 - RUN_LINES, RUN_LINES - 1)
-    near = (lines.withColumn("near", F.max("hit").over(around)).filter("near")
-                 .withColumn("shares", F.greatest(*ds) > 0).drop("near"))
-    spread = near.withColumn("s", F.explode(F.sequence(F.greatest(F.col("i") - (RUN_LINES - 1), F.lit(0)), F.col("i"))))
-    run = Window.partitionBy("key", "s").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    sums = spread.select("key", "s", F.col("i").alias("e"), "shares", F.max("hit").over(run).alias("hit"),
-                         (F.first("shares").over(run) & (F.first("i").over(run) == F.col("s"))).alias("starts"),
-                         F.sum("sq").over(run).alias("sq"), *[F.sum(d).over(run).alias(d) for d in ds])
+    most = vectors.run_words
+    ordered = Window.partitionBy("key").orderBy("i")
+    placed = lines.withColumn("to", F.sum("words").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    around = Window.partitionBy("key").orderBy("to").rangeBetween(-most, most)
+    near = placed.withColumn("near", F.max("hit").over(around)).filter("near").withColumn("shares", F.greatest(*ds) > 0)
+    # lines by rank; ``back`` counts those that a run may hold besides the last one (whose words go off the limit)
+    within = Window.partitionBy("key").orderBy("to").rangeBetween(-most, 0)
+    ranked = (near.withColumn("r", F.row_number().over(ordered)).withColumn("back", F.count(F.lit(1)).over(within) - 1)
+                  .select("key", "i", "r", "back", "shares", "hit", "sq", "words", *ds))
+    spread = ranked.withColumn("s", F.explode(F.sequence(F.col("r") - F.col("back").cast("int"), F.col("r"))))
+    run = Window.partitionBy("key", "s").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    sums = spread.select("key", F.first("i").over(run).alias("s"), F.col("i").alias("e"), "shares", F.max("hit").over(run).alias("hit"),
+                         (F.first("shares").over(run) & (F.first("r").over(run) == F.col("s"))).alias("starts"),
+                         F.sum("words").over(run).alias("words"), F.sum("sq").over(run).alias("sq"),
+                         *[F.sum(d).over(run).alias(d) for d in ds])
     able = vectors.best(vectors.plain, F.col("sq"))["cosine"] >= cosine - 1e-6
-    return sums.filter((F.col("s") < F.col("e")) & F.col("starts") & F.col("shares") & F.col("hit") & able).select("key", "s", "e")
+    return (sums.filter((F.col("s") < F.col("e")) & (F.col("words") <= most) & F.col("starts") & F.col("shares") & F.col("hit") & able)
+                .select("key", "s", "e"))
 
 
-def _scores(texts: DataFrame, vectors: Vectors, df: DataFrame, n: int, cosine: float) -> DataFrame:
-    """(key, line, whole): best template of a text's runs of lines and of the whole text."""
+def _scores(texts: DataFrame, vectors: Vectors, df: DataFrame, n: int, cosine: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, line, whole): best template of a text's runs of lines and of the whole text; and the tables it reads."""
     lines = texts.select("key", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     counts = (lines.select("key", "i", F.explode(words(F.col("line"))).alias("w"))
                    .groupBy("key", "i", "w").agg(F.count(F.lit(1)).alias("k")))
@@ -249,7 +259,7 @@ def _scores(texts: DataFrame, vectors: Vectors, df: DataFrame, n: int, cosine: f
     best = vectors.best(vectors.plain, F.col("sq")).alias("best")
     weighed = tokens.withColumn("x", F.col("k") * F.col("idf"))
     hit = F.max(F.col("w").isin(*vectors.needed(vectors.plain, cosine))).alias("hit")
-    lines = stored(squared(weighed, "plain", "key", "i", also=(hit,)), "license_lines")
+    lines = stored(squared(weighed, "plain", "key", "i", also=(hit, F.sum("k").alias("words"))), "license_lines")
     runs = stored(_runs(lines, vectors, cosine), "license_runs")
     inside = (runs.withColumn("i", F.explode(F.sequence("s", "e"))).join(weighed.select("key", "i", "w", "x"), ["key", "i"])
                   .groupBy("key", "s", "e", "w").agg(F.sum("x").alias("x")))
@@ -258,7 +268,7 @@ def _scores(texts: DataFrame, vectors: Vectors, df: DataFrame, n: int, cosine: f
     whole = (squared(tokens.groupBy("key", "w").agg(F.sum("k").alias("k"), F.first("idf").alias("idf"))
                            .withColumn("x", _damped(F.col("k")) * F.col("idf")), "damped", "key")
              .select("key", vectors.best(vectors.damped, F.col("sq")).alias("whole")))
-    return single.join(whole, "key")
+    return single.join(whole, "key"), [tokens, lines, runs]
 
 
 def scan(files: DataFrame, templates: dict[str, str | list[str]] | None = None, line_cosine: float = 0.8, file_cosine: float = 0.5,
@@ -279,7 +289,9 @@ def scan(files: DataFrame, templates: dict[str, str | list[str]] | None = None,
                              spdx_tag(F.col("text"), sorted(given)).alias("tag"),
                              F.when(near, F.sha2("text", 256)).alias("key"), F.when(near, F.col("text")).alias("text")), "licenses")
     texts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.first("text").alias("text"))
-    scores = stored(_scores(texts, vectors, df, n, line_cosine), "license_scores")
+    scores, used = _scores(texts, vectors, df, n, line_cosine)
+    scores = stored(scores, "license_scores")
+    forget(df, *used)
     rows = rows.drop("text")
     scored = (rows.filter(F.col("key").isNotNull()).join(scores, "key", "left")
                   .unionByName(rows.filter(F.col("key").isNull()), allowMissingColumns=True)

@@ -100,6 +100,43 @@ def test_every_word_has_its_real_frequency(spark):
     assert all(got[i].how is None for i in range(200))
 
 
+@pytest.mark.parametrize("width", [20, 30, 60])
+def test_a_header_has_its_cosine_at_any_width(spark, width):
+    from driftline.llm.licenses import _BSD_END, _BSD_NAME, _BSD_START
+    header = textwrap.wrap("\n".join([_BSD_START, _BSD_NAME, _BSD_END]), width)
+    text = "int a;\n/*\n" + "\n".join(" * " + x for x in header) + "\n */\nint b;"
+    got = scan(spark.createDataFrame([(1, "a/b.c", text), (2, "a/c.c", "int c;")], "doc_id LONG, path STRING, text STRING")).collect()
+    first = next(r for r in got if r.id == 1)
+    assert (first.license, first.how, first.cosine) == ("BSD-3-Clause", "header", 1.0)
+    assert width > 20 or len(header) > 60
+
+
+def test_every_wording_against_plain_cosines(spark):
+    """Whole single-line files of every wording: the best cosine over all wordings, by plain arithmetic."""
+    from driftline.llm.licenses import FURTHER, _long_texts
+    given = [(n, t) for n in {**TEMPLATES, **FURTHER} for t in [*([TEMPLATES[n]] if n in TEMPLATES else []), *FURTHER.get(n, [])]]
+    texts = [" ".join(t.split()) for _, t in given] + [" ".join(t.split()) + " and some words more" for _, t in given]
+    df = Counter(w for t in texts for w in set(re.findall("[a-z0-9]+", t.lower())))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+    plain = [(n, vector(t, idf)) for n, t in given]
+    damped = [(n, vector(t, idf, damped=True)) for n, t in given + _long_texts()]
+    got = {r.id: r for r in scan(spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)],
+                                                       "doc_id LONG, path STRING, text STRING")).collect()}
+    for i, t in enumerate(texts):
+        line = max((round(cosine(vector(t, idf), v), 9), n) for n, v in plain)
+        whole = max((round(cosine(vector(t, idf, damped=True), v), 9), n) for n, v in damped)
+        want = (line, "header") if line[0] >= 0.8 else (whole, "inherited") if whole[0] >= 0.5 else ((None, None), None)
+        assert got[i].how == want[1] and got[i].cosine == pytest.approx(want[0][0], abs=3e-9)
+        assert got[i].license == want[0][1] or want[0][0] == pytest.approx(max(cosine(vector(t, idf), v) for n, v in plain if n == got[i].license), abs=3e-9)
+    assert all(got[i].how == "header" and got[i].cosine == pytest.approx(1.0, abs=3e-9) for i in range(len(given)))
+
+
+def test_long_text(spark):
+    text = "word " * 400_000 + "\n" + TEMPLATES["MIT"] + "\n" + "\n".join(f"line {i}" for i in range(20_000))
+    got = scan(spark.createDataFrame([(1, "a/b", text)], "doc_id LONG, path STRING, text STRING")).first()
+    assert (got.license, got.how) == ("MIT", "header")
+
+
 def test_headers_and_licence_files(spark):
     from driftline.llm.licenses import _MIT_TEXT, FURTHER, TEXTS
     gnu = FURTHER["GPL-3.0"][1]
