@@ -12,7 +12,8 @@ tasks, never numbered in one window. Only ids, sizes, checksums and hashes are
 shuffled, no text.
 
 Defined results: a null source is a stratum of its own; a null text has size 8
-(no bytes plus the per-row 8) and checksum 0; repeated rows each get a slot;
+(no bytes plus the per-row 8) and checksum 0; texts of any length are one row
+(only size and checksum travel); repeated rows each get a slot;
 an empty table gives no rows; extra columns are ignored.
 """
 

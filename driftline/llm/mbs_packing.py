@@ -22,6 +22,7 @@ kept in a bounded cache; a text with white space beside a blank is encoded
 whole, one that spells a special token goes to ``tokenizers`` itself.
 
 Defined results: a null text counts as empty (its one piece is the end id);
+texts of any length are encoded whole and cut into pieces;
 repeated rows are documents of their own; rows with a null id take part; an
 empty table gives no rows; extra columns are ignored.
 """

@@ -11,6 +11,11 @@ by the triangle inequality, so the star holds the same components as all pairs
 would, without emitting all pairs of a group. Before a task passes its links
 on, it drops those that connect what is connected already.
 
+What the first slices of the variant space have linked, the later ones know: the
+links are folded into roots, a fingerprint travels with its root, and a link is
+passed on only between different roots. So a cluster is linked by the tasks of
+the first slices, not by every task of every slice.
+
 Scale. Only distinct fingerprints emit (a copy group of any size is one), and a
 variant can be met by at most as many fingerprints as a half ball holds, so no
 key is hot. Variants are dealt out by a fixed linear hash of their bits. A
@@ -22,7 +27,8 @@ worked off in ``PASSES`` slices, and the shuffle files of a slice are dropped
 when its links are stored: what lies on disk at once is one slice. The number
 of buckets grows with the number of fingerprints, so a bucket stays bounded.
 
-Defined results: null and empty texts and texts without words have fingerprint
+Defined results: texts of any length are hashed whole, in blocks of shingles; null
+and empty texts and texts without words have fingerprint
 zero and are linked like any other; repeated rows are documents of their own
 that share a component; rows with a null id take part, and a component's id is
 its smallest non-null id (null if it has none); an empty table gives no rows.
@@ -39,11 +45,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import freed_shuffles, stored
+from driftline.llm.common import forget, freed_shuffles, stored
 from driftline.llm.components import connected_components
 from driftline.session import scratch_path
 
 PASSES = 8                 # slices of the variant space, worked off one after the other
+FOLDS = (0, 2)             # slices after which links are folded into roots, besides the last one
 MIN_BUCKETS = 1024         # buckets of a slice, at least
 BUCKET_VARIANTS = 500_000  # variants of a bucket, about, beyond that
 EMITTED_AT_ONCE = 8192     # fingerprints of a task that deals variants out, about
@@ -113,6 +120,11 @@ class Variants:
 
     def deal(self, x: np.ndarray, turn: int) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, fingerprints with a variant there) for one slice."""
+        for bucket, at in self.places(x, turn):
+            yield bucket, x[at]
+
+    def places(self, x: np.ndarray, turn: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, places in x of the fingerprints with a variant there) for one slice."""
         cx, low, keys, rows = self.code(x), self.passes - 1, [], []
         kind = np.uint16 if self.buckets <= 1 << 16 else np.int64  # 16 bits sort by radix
         for c in range(self.passes):
@@ -130,7 +142,7 @@ class Variants:
         bucket, at = bucket[new], at[new]
         starts = np.flatnonzero(cut[new])
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=False):
-            yield int(bucket[lo]), x[at[lo:hi]]
+            yield int(bucket[lo]), at[lo:hi]
 
     def links(self, x: np.ndarray, bucket: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
         """Verified stars of the fingerprints that meet at a variant of the bucket."""
@@ -170,26 +182,51 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column ``fp``), connecting
-    everything that a chain of distances up to ``radius`` connects."""
+def _joined(ball: Variants, x: np.ndarray, root: np.ndarray, bucket: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one bucket between fingerprints of different roots, as links of the roots."""
+    a, b = ball.links(x, bucket, turn)
+    order = np.argsort(x)
+    a, b = (root[order[np.searchsorted(x, v, sorter=order)]] for v in (a, b))
+    return a[a != b], b[a != b]
+
+
+def _folded(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after links between roots."""
+    new = connected_components(links)
+    if roots is None:
+        return new
+    moved = new.select(F.col("node").alias("old"), F.col("root").alias("top"))
+    known = (roots.join(moved, F.col("root") == F.col("old"), "left")
+                  .select("node", F.coalesce("top", "root").alias("root")))
+    out = stored(known.unionByName(new), "roots")
+    forget(roots, new)
+    return out
+
+
+def near_roots(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
+    """(node, root) of every fingerprint (column ``fp``) that a chain of distances
+    up to ``radius`` connects to a smaller one; ``root`` is the smallest of all."""
     spark = distinct.sparkSession
     buckets = MIN_BUCKETS
     while buckets * BUCKET_VARIANTS < n * 2081 // PASSES:
         buckets *= 2
     ball = Variants(radius, buckets)
     tasks = max(n // EMITTED_AT_ONCE + 1, spark.sparkContext.defaultParallelism)
-    spread = distinct.select("fp").repartition(tasks)
-    path = scratch_path(spark, "links")
 
     def emit(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                dealt = list(ball.deal(x, turn))
+                x, root = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+                held = x != root
+                buckets, alone, led = [], [], []
+                for bucket, at in ball.places(x, turn):
+                    own = at[held[at]]
+                    buckets.append(bucket)
+                    alone.append(x[at[~held[at]]].tobytes())
+                    led.append(np.stack([x[own], root[own]]).T.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d[0] for d in dealt], pa.int64()), pa.array([d[1].tobytes() for d in dealt], pa.binary())],
-                    ["bucket", "blob"])
+                    [pa.array(buckets, pa.int64()), pa.array(alone, pa.binary()), pa.array(led, pa.binary())],
+                    ["bucket", "alone", "led"])
         return run
 
     def meet(turn: int):
@@ -198,30 +235,47 @@ def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
             a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
+        def solve(alone: list[bytes], led: list[bytes], bucket: int) -> tuple[np.ndarray, np.ndarray]:
+            own, pairs = np.frombuffer(b"".join(alone), np.uint64), np.frombuffer(b"".join(led), np.uint64).reshape(-1, 2)
+            return _joined(ball, np.concatenate([own, pairs[:, 0]]), np.concatenate([own, pairs[:, 1]]), bucket, turn)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, blobs, found, n = None, [], [], 0
+            now, alone, led, found, n = None, [], [], [], 0
             for b in batches:
-                for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if bucket != now and blobs:
-                        found.append(ball.links(np.frombuffer(b"".join(blobs), np.uint64), now, turn))
-                        n, blobs = n + len(found[-1][0]), []
+                for bucket, one, two in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if bucket != now and alone:
+                        found.append(solve(alone, led, now))
+                        n, alone, led = n + len(found[-1][0]), [], []
                         if n > LINKS_AT_ONCE:
                             yield linked(found)
                             found, n = [], 0
                     now = bucket
-                    blobs.append(blob)
-            if blobs:
-                found.append(ball.links(np.frombuffer(b"".join(blobs), np.uint64), now, turn))
+                    alone.append(one)
+                    led.append(two)
+            if alone:
+                found.append(solve(alone, led, now))
             if found:
                 yield linked(found)
         return run
 
+    roots, path = None, scratch_path(spark, "links")
     with freed_shuffles(spark):
         for turn in range(PASSES):
-            dealt = spread.mapInArrow(emit(turn), "bucket long, blob binary")
+            spread = distinct.select("fp", F.col("fp").alias("root"))
+            if roots is not None:
+                known = roots.select("node", F.col("root").alias("top"))
+                spread = (distinct.join(known, F.col("fp") == F.col("node"), "left")
+                                  .select("fp", F.coalesce("top", "fp").alias("root")))
+            dealt = spread.repartition(tasks).mapInArrow(emit(turn), "bucket long, alone binary, led binary")
             met = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket")
             met.mapInArrow(meet(turn), "a long, b long").write.mode("append").parquet(path)
-    return spark.read.schema("a long, b long").parquet(path).distinct()
+            if turn in FOLDS or turn == PASSES - 1:
+                links = spark.read.schema("a long, b long").parquet(path)
+                links.scratch = path
+                roots = _folded(roots, links)
+                forget(links)
+                path = scratch_path(spark, "links")
+    return roots
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -231,7 +285,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stored(fingerprints(docs, id_col, text_col, k), "fingerprints")
     with freed_shuffles(docs.sparkSession):
         distinct = stored(rows.select("fp").distinct(), "distinct")
-    roots = connected_components(near_links(distinct, distinct.count(), radius))
+    roots = near_roots(distinct, distinct.count(), radius)
+    forget(distinct)
     rooted = (rows.join(roots, F.col("fp") == F.col("node"), "left")
                   .select("id", "th", "fp", F.coalesce("root", "fp").alias("root")))
     names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -15,7 +15,8 @@ bound: items are added to a block until it holds ``BLOCK_BYTES`` of text (the
 benchmark is a stated query set against all rows, in blocks; a benchmark of a
 few MB is one block). Hits of several blocks meet in one aggregate by document.
 
-Defined results: null texts have no words; repeated rows are documents of their
+Defined results: null texts have no words; texts of any length are read whole (their
+arrays take some 50 bytes a byte of one text at a time); repeated rows are documents of their
 own with equal results; an item with a null id hits but has the id ''; items
 without words, null items and an empty benchmark hit nothing; equal items all
 count; an empty table gives no rows; extra columns are ignored.
