@@ -1,32 +1,39 @@
 """DuckDB twins of the registered queries that SQL can express."""
 
 OP3 = """
-WITH lines AS (
-  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-cuts AS (
-  SELECT *, CASE WHEN i = n OR substr(md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)), 1, 1)
-                 IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS cut
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (
-  SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-  FROM cuts),
+WITH texts AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, ls, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM texts),
+hashed AS (
+  SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS v FROM lines),
+windows AS (
+  SELECT *, coalesce(lead(v) OVER (PARTITION BY doc_id ORDER BY i), 0) AS v2 FROM hashed),
+starts AS (
+  SELECT doc_id, ls, n, i, base
+  FROM windows, (VALUES (536870909), (715827883), (954437177)) AS b(base)
+  WHERE (i = 1 OR ((v * base + v2) % 2147483647) % 8 <> 0)),
+followed AS (
+  SELECT *, lead(i, 1) OVER w AS next1, lead(i, 2) OVER w AS next2
+  FROM starts WINDOW w AS (PARTITION BY doc_id, base ORDER BY i)),
 chunks AS (
-  SELECT doc_id, chunk, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
-  FROM numbered GROUP BY doc_id, chunk),
-marked AS (
-  SELECT *, n >= 2 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, start) > 1 AS gone
-  FROM chunks),
+  SELECT DISTINCT doc_id, i AS start, coalesce(CASE WHEN next1 >= i + 2 THEN next1 ELSE next2 END, n + 1) - 1 AS stop, ls
+  FROM followed WHERE i < n),
+bodies AS (
+  SELECT doc_id, start, stop, array_to_string(ls[start:stop], chr(10)) AS body FROM chunks),
+gone AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS r FROM bodies) WHERE r > 1),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS i FROM gone),
+counted AS (
+  SELECT doc_id, count(*) AS n_chunks FROM gone GROUP BY doc_id),
 out AS (
-  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines,
-         CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
-         count(*) FILTER (WHERE gone) AS n_chunks,
-         sha256(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (WHERE NOT gone), '')) AS kept_sha256
-  FROM marked GROUP BY doc_id)
+  SELECT l.doc_id, count(*) AS n_lines, count(c.i) AS n_removed,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE c.i IS NULL), '')) AS kept_sha256
+  FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.i = l.i GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_removed, 0) AS n_removed,
-       coalesce(o.n_chunks, 0) AS n_chunks, o.kept_sha256
-FROM documents d LEFT JOIN out o ON o.doc_id = d.doc_id
+       coalesce(k.n_chunks, 0) AS n_chunks, o.kept_sha256
+FROM documents d LEFT JOIN out o ON o.doc_id = d.doc_id LEFT JOIN counted k ON k.doc_id = d.doc_id
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -56,7 +63,8 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 
 OP7 = """
 WITH t AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS said, turn
+  SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS said, turn,
+         replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS name
   FROM conversations),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said) - 1 AS place FROM t),
@@ -64,7 +72,7 @@ speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'syst
 parts AS (
   SELECT p.conv_id, speaker, place // 64 AS block, place, role = speaker AS own,
          CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
-              ELSE '<|user name=' || role || '|>' END || chr(10) || said || '<|end|>' || chr(10) AS part
+              ELSE '<|user name=' || name || CASE WHEN ends_with(name, '<') THEN ' ' ELSE '' END || '|>' END || chr(10) || said || '<|end|>' || chr(10) AS part
   FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
 spans AS (
   SELECT *, CAST(sum(length(part)) OVER (PARTITION BY conv_id, speaker, block ORDER BY place) AS BIGINT) AS stop

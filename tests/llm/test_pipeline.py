@@ -51,6 +51,22 @@ def test_stages_against_brute_force(spark):
     assert sorted({r.doc_id for r in out.collect()}) == sorted(fine)
 
 
+def test_odd_rows_and_clashing_columns(docs, corpus):
+    rows = list(enumerate(corpus)) + [(3, corpus[3]), (3, corpus[3]), (None, corpus[7]), (None, None), (900, "x" * 3_000_000)]
+    table = docs(rows)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("lines", "near_duplicates", "decontamination"):
+        out = stages[name](table.sparkSession, table, SF)
+        assert out.columns == table.columns
+        found = out.collect()
+        assert all((r.shard, r.slot, r.th, r.fp, r.id, r.row) == (7, 7, 7, "x", "y", 7) for r in found)
+        if name == "lines":
+            assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
+        assert 900 in {r.doc_id for r in found}
+    packed = stages["packing"](table.sparkSession, table, SF).collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in rows}
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
