@@ -105,7 +105,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spot = F.struct("id", "th", "start")
 
     def beside(table: DataFrame, name: str, how: str) -> DataFrame:
-        return keyed.join(table.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), name), same_doc, how)
+        """The documents with their row of ``table``, which grows with them: a merge join at every size."""
+        return keyed.join(table.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), name).hint("merge"), same_doc, how)
 
     def texts(candidates: DataFrame) -> DataFrame:
         """(id, th, start, n, ch, chunk): the candidates' texts."""
