@@ -3,8 +3,10 @@
 1. Statistics of the whole text (`statistics`) are plain column expressions.
 2. A random forest is grown on a bounded sample of labelled rows; every path
    from a root to a node becomes a rule, a conjunction of bounds on statistics.
-3. A logistic regression with a lasso penalty weighs the rules; rules with
-   weight zero are dropped.
+3. A logistic regression with a lasso penalty weighs the rules, by proximal Newton
+   steps until its optimality conditions hold to ``TOLERANCE``; rules with weight
+   zero are dropped. This step runs on the driver, on the sample's statistics: its
+   size is that of the bounded sample.
 4. The remaining rules are compiled back into one column expression, so scoring
    a corpus is a map over its rows without a join, a shuffle or Python.
 
@@ -13,6 +15,7 @@ ones with the smallest hash of their id, whatever the size of the corpus. All
 rows are scored. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have zero statistics and get a score;
+texts of any length are read whole, equal texts score alike;
 rows with a null id are scored but not learned from; a document labelled twice
 counts twice; rows with a null label are ignored; without labels the score is
 0.5 everywhere, with one class only it is the smoothed share of that class;
@@ -24,16 +27,18 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import empty_if_null, let, stored
+from driftline.llm.common import empty_if_null, forget, let, stored
 from driftline.plans.materialize import broadcast_bounded
 
 SAMPLE_ROWS = 20_000
-TREES, DEPTH, LASSO, ROUNDS = 8, 3, 0.002, 25
+TREES, DEPTH, LASSO = 12, 4, 0.002
+TOLERANCE, MOST_ROUNDS = 1e-8, 200  # the lasso stops by its tolerance
 
 #: classes of characters whose share of the text is a statistic
 SHARES = {
@@ -86,6 +91,7 @@ class RuleEnsemble:
 
     intercept: float = 0.0
     rules: tuple[tuple[Rule, float], ...] = field(default=())
+    rounds: int = 0  # that the lasso took
 
     def score(self, text: Column) -> Column:
         def logistic(stats: Column) -> Column:
@@ -142,15 +148,55 @@ def fit(sample: DataFrame, seed: int = 5) -> RuleEnsemble:
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="onethird").fit(rows)
     rules = tree_rules(forest.toDebugString, names)
-    stats = F.struct(*names)
-    fired = sample.select("label", *[rule.column(stats).cast("double").alias(f"r{i}") for i, rule in enumerate(rules)])
-    fired = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(fired)
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=ROUNDS, standardization=False)
-    model = lasso.fit(fired.select("label", "features"))
-    kept = [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray(), strict=True) if w]
-    return RuleEnsemble(float(model.intercept), tuple(kept))
+    table = sample.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])  # at most SAMPLE_ROWS rows
+    stats = {c: table[c].to_numpy() for c in names}
+    fired = np.stack([np.logical_and.reduce([(stats[c] > above) & (stats[c] <= most) for c, above, most in rule.bounds])
+                      for rule in rules], axis=1).astype(float)
+    intercept, weights, rounds = lasso_logistic(fired, table["label"].to_numpy(), LASSO)
+    return RuleEnsemble(intercept, tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if w), rounds)
+
+
+def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> tuple[float, np.ndarray, int]:
+    """(intercept, weights, rounds) that minimise the mean logistic loss plus ``penalty`` times the
+    absolute weights, by proximal Newton steps (coordinate descent on the quadratic model, with a line search)."""
+    rows, n = np.unique(np.column_stack([y, x]), axis=0, return_counts=True)
+    y, x, n = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]]), n / n.sum()
+    bound = np.full(x.shape[1], penalty)
+    bound[0] = 0.0  # the intercept is free
+    w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n @ (np.logaddexp(0, z) - y * z) + bound @ np.abs(w))
+    for rounds in range(MOST_ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (n * (p - y))
+        off = np.where(w != 0, np.abs(slope + bound * np.sign(w)), np.maximum(np.abs(slope) - bound, 0))
+        if off.max() < TOLERANCE:
+            return float(w[0]), w[1:], rounds
+        curve = (x * (n * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-10 * np.eye(len(w))
+        to, pull = w.copy(), np.zeros(len(w))  # pull: curve @ (to - w)
+        for _ in range(1000):
+            most = 0.0
+            for j in np.flatnonzero((to != 0) | (np.abs(slope + pull) >= bound)).tolist():
+                a = curve[j, j]
+                free = to[j] - (slope[j] + pull[j]) / a
+                new = np.sign(free) * max(abs(free) - bound[j] / a, 0.0)
+                if new != to[j]:
+                    pull += curve[:, j] * (new - to[j])
+                    most, to[j] = max(most, a * abs(new - to[j])), new
+            if most < 0.01 * TOLERANCE:
+                break
+        step, now = 1.0, loss(w)
+        while step > 1e-10 and loss(w + step * (to - w)) > now:
+            step /= 2
+        w = to if step == 1.0 else w + step * (to - w)
+    return float(w[0]), w[1:], MOST_ROUNDS
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", rows: int = SAMPLE_ROWS) -> RuleEnsemble:
-    return fit(training_sample(docs, labels, label_col, id_col, text_col, rows))
+    sample = training_sample(docs, labels, label_col, id_col, text_col, rows)
+    model = fit(sample)
+    forget(sample)
+    return model
