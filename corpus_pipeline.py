@@ -3,6 +3,14 @@
 Five stages, each one of the operators of ``driftline.llm``; the result of each
 is written as Parquet under the shared checkpoint folder and reread as the next
 one's documents. All stages but the last return the columns of their input.
+
+Defined results of every stage: null, empty and very long texts are documents
+like any other (a null text is scored as an empty one, has no lines, fingerprint
+zero and no words, and is packed as an empty one); of near duplicates the row
+with the smallest id stays, a null id last, then the smallest text hash; rows
+that repeat a whole row are documents of their own, of which the near-duplicate
+stage keeps one; null ids take part; extra columns pass through unchanged,
+whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.catalog import held_out
-from driftline.llm.common import stored
+from driftline.llm.common import forget, stored
 from driftline.llm.line_chunks import dedup_lines
 from driftline.llm.mbs_packing import pack
 from driftline.llm.rule_ensemble import train
@@ -67,5 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        last, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        forget(last)  # a table of an earlier stage; the input itself stays
     return docs

@@ -52,6 +52,12 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_FREE, before)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for a stage whose work is in the rows' contents, not in their bytes: a repartition
+    by this number is not coalesced by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import freed_shuffles, stored
+from driftline.llm.common import forget, freed_shuffles, stored, task_count
 
 PIECE = 2048          # words of a piece, about
 PIECE_BYTES = 8 << 20  # bytes of a piece, about
@@ -189,7 +189,7 @@ def near_words(words: DataFrame, least: int = 7) -> DataFrame:
 
     unit = ["key", "u", "v"]
     order = [*unit, "shorter", "by_suffix"]  # two blocks whose keys collide stay apart
-    found = (dealt.repartition(*unit).sortWithinPartitions(*order)
+    found = (dealt.repartition(task_count(words.sparkSession), *unit).sortWithinPartitions(*order)
                   .mapInArrow(run, "word string, near long, best_n long, best string"))
     best = F.min(F.struct((-F.col("best_n")).alias("neg"), F.col("best").alias("word")))
     return (found.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("top"))
@@ -210,12 +210,14 @@ def spelling_variants(words: DataFrame, least: int = 7, ratio: int = 10) -> Data
                             .select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                                     F.when(formed, F.col("best")).alias("form"), F.when(formed, F.col("best_n")).alias("form_n")),
                        "known")
+        forget(words)
         links = stored(known.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), "links")
         while True:  # each round doubles the steps followed
             ahead = links.select(F.col("word").alias("at"), F.col("root").alias("further"))
             step = links.join(ahead, F.col("root") == F.col("at"), "left")
             if not step.filter("further IS NOT NULL").limit(1).count():
                 break
-            links = stored(step.select("word", F.coalesce("further", "root").alias("root")), "links")
+            last, links = links, stored(step.select("word", F.coalesce("further", "root").alias("root")), "links")
+            forget(last)
     rooted = known.join(links.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
     return rooted.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

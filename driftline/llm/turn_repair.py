@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import freed_shuffles, stored
+from driftline.llm.common import forget, freed_shuffles, stored, task_count
 from driftline.operators.ordering import number_rows
 
 BLOCK = 256  # turns of a block, at most
@@ -224,6 +224,7 @@ class Repair:
         #: (conv, block, start, initials, entered, cost, audit, illegal)
         self.chosen = stored(both.withColumn("way", way).select(
             "conv", "block", "start", "initials", F.col("c_entered").alias("entered"), "way.cost", "way.audit", "illegal"), "chosen")
+        forget(self.blocks)
 
     def _tables(self, blocks: DataFrame) -> DataFrame:
         costs = self.costs
@@ -241,7 +242,8 @@ class Repair:
                                                   pa.array(found, pa.list_(way))],
                                                  ["conv", "block", "start", "initials", "last", "ways"])
         conv = blocks.schema["conv"].dataType.simpleString()
-        return blocks.mapInArrow(run, f"conv {conv}, block long, start long, initials string, last boolean, "
+        spread = blocks.repartition(task_count(blocks.sparkSession), "conv", "block")
+        return spread.mapInArrow(run, f"conv {conv}, block long, start long, initials string, last boolean, "
                                       "ways array<struct<entered int, left int, cost long, rank int, audit string>>")
 
     def _chain(self, blocks: DataFrame) -> DataFrame:
@@ -283,6 +285,10 @@ class Repair:
         return (blocks.select("conv", "block", "initials", "last", "ways").repartition("conv").sortWithinPartitions("conv", "block")
                       .mapInArrow(run, f"c_conv {conv}, c_block long, c_entered int, c_left int, illegal long"))
 
+    def close(self) -> None:
+        """Delete the stored tables; what was asked for must have been computed by then."""
+        forget(self.rows, self.marks, self.chosen)
+
     def edits(self) -> DataFrame:
         """(conv, pos, place, edit, new_role): every edit in order; an insert stands before the turn of
         its ``pos`` (behind it at a conversation's end); ``new_role`` is null for Keep and Delete."""
